@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import host_reputation, quality_mcd
+from . import decontamination, host_reputation, language_id, line_dedup, mixing, near_dedup, quality_mcd, substring_dedup, toxicity, warc
 from .common import table
 
 
@@ -14,14 +15,48 @@ def op1_quality_mcd(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_mcd.quality_outliers(table(spark, sf_dir, "documents"))
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.language_id(table(spark, sf_dir, "documents"))
+
+
 def op4_host_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = host_reputation.host_reputation(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
     return out.select("page_id", "host", "path", "rule", "verdict")
 
 
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_sources(table(spark, sf_dir, "documents"))
+
+
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id")
+
+
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substring_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup.line_dedup(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_mcd, op4_host_reputation)}
+    return {f.__name__: f for f in (op1_quality_mcd, op2_warc, op3_language_id, op4_host_reputation, op5_mixing, op6_decontamination, op7_near_dedup, op8_substring_dedup, op9_toxicity, op10_line_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_host_reputation": host_reputation.oracle_sql()}
+    return {"op2_warc": warc.oracle_sql(), "op4_host_reputation": host_reputation.oracle_sql(), "op10_line_dedup": line_dedup.oracle_sql()}

@@ -67,16 +67,18 @@ class Slice:
     def doc_of_word(self) -> np.ndarray:
         return np.repeat(np.arange(self.hi - self.lo), self.counts)
 
-    def hashes(self) -> np.ndarray:
-        """A 64-bit hash for each word."""
+    def hashes(self, prefix: int | None = None) -> np.ndarray:
+        """A 64-bit hash for each word, or for its first `prefix` bytes."""
         if not len(self.starts):
             return np.empty(0, np.uint64)
         lengths = self.ends - self.starts
+        if prefix is not None:
+            lengths = np.minimum(lengths, prefix)
         begin = np.zeros(len(lengths), np.int64)
         np.cumsum(lengths[:-1], out=begin[1:])
         total = int(begin[-1] + lengths[-1])
         at = np.arange(total) - np.repeat(begin, lengths)
-        letters = self.data[~_SPACE[self.data]] if total != len(self.data) else self.data
+        letters = self.data[~_SPACE[self.data]] if prefix is None else self.data[at + np.repeat(self.starts, lengths)]
         value = _BYTE[letters]
         value *= powers(_BASE, int(lengths.max()))[at]
         return mix(np.add.reduceat(value, begin) + lengths.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
@@ -124,6 +126,29 @@ def slices(col: pa.Array, size: int = SLICE_BYTES) -> Iterator[Slice]:
         lo = hi
 
 
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+_KEPT = np.ones(256, bool)
+_KEPT[[x for x in range(33, 127) if not chr(x).isalnum()]] = False
+
+
+def normalised_slices(col: pa.Array, size: int = SLICE_BYTES) -> Iterator[Slice]:
+    """As slices(), of the texts with A-Z lower-cased and ASCII punctuation taken out."""
+    data, offsets = column(col)
+    lo, n = 0, len(offsets) - 1
+    while lo < n:
+        hi = int(np.searchsorted(offsets, offsets[lo] + size, "right")) - 1
+        hi = min(n, max(lo + 1, hi))
+        own = data[offsets[lo] : offsets[hi]]
+        kept = _KEPT[own]
+        total = np.zeros(len(own) + 1, np.int64)
+        np.cumsum(kept, out=total[1:])
+        s = cut(_LOWER[own[kept]], total[offsets[lo : hi + 1] - offsets[lo]], 0, hi - lo)
+        s.lo, s.hi = lo, hi
+        yield s
+        lo = hi
+
+
 def window_hash(h: np.ndarray, k: int) -> np.ndarray:
     """Hash of the k elements from each position on; n - k + 1 of them, or none."""
     n = len(h)
