@@ -1,15 +1,62 @@
-"""Corpus pipeline over `documents`: the stages are added as their operators are."""
+"""Corpus pipeline over `documents`: five stages, each on all that its predecessor kept.
+
+A stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of
+`documents`.  run() writes each stage's rows as Parquet to the shared folder and reads them again, so that a
+lost executor costs a stage at most.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from chronogrid.llm import decontamination, language_id, line_dedup, mixing, near_dedup
+from chronogrid.llm.common import broadcast_if_small, materialize, table
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language the compressors settle; rejected ones go. Rows without a doc_id are kept."""
+    verdicts = language_id.language_id(docs).where("rejected and doc_id is not null").select("doc_id").distinct()
+    return docs.join(broadcast_if_small(materialize(verdicts, "rejected")), "doc_id", "left_anti").select(docs.columns)
+
+
+def remove_boilerplate_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without cross-site boilerplate lines; documents of which no word is left go."""
+    cleaned = line_dedup.line_dedup(docs)
+    empty = (F.col("n_removed") > 0) & ~F.col("text").rlike(r"[^\x20\x09-\x0D]")
+    length = {"n_chars": F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {}
+    return cleaned.where(~F.coalesce(empty, F.lit(False))).withColumns(length).select(docs.columns)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near duplicates, that with the smallest doc_id."""
+    return near_dedup.deduplicate(docs).select(docs.columns)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a passage of the benchmark."""
+    return decontamination.decontaminate(docs, table(spark, sf_dir, "benchmark")).select(docs.columns)
+
+
+def mix_to_targets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, size, source_size, target and taken of every document left."""
+    return mixing.mix_sources(docs)
+
+
+STAGES = [
+    ("language ID", identify_language),
+    ("line dedup", remove_boilerplate_lines),
+    ("near dedup", drop_near_duplicates),
+    ("decontamination", drop_contaminated),
+    ("mixing", mix_to_targets),
+]
 
-STAGES: list = []
+#: The stages learn, sketch and draw: SQL cannot express them. tests/llm has brute-force versions.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
     return docs
