@@ -1,0 +1,291 @@
+"""Operators against brute force, properties and validation."""
+
+import math
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from chronogrid import Panel
+from chronogrid.operators import fourier, mice, missing, network, pointwise, runs, spatial, temporal, temporal_tree
+from chronogrid.panel import Grid
+from chronogrid.plans.registry import TRANSFORMS, apply_transforms
+from chronogrid.sources import panels
+
+
+def grid_rows(width, height, times, seed=1, zero=0.3):
+    rng = np.random.default_rng(seed)
+    return [(t, (y + 3) * 720 + x + 7, 0.0 if rng.random() < zero else float(rng.integers(1, 50))) for t in times for y in range(height) for x in range(width)]
+
+
+def panel_of(spark, rows):
+    return Panel.ingest(spark.createDataFrame(rows, "time int, unit long, v double"))
+
+
+def result(panel, name="v"):
+    return {(r.time, r.unit): r[name] for r in panel.df.collect()}
+
+
+def placed(rows):
+    """Cells in the embedding square, by hand."""
+    xs, ys = [u % 720 for _, u, _ in rows], [u // 720 for _, u, _ in rows]
+    wide, high = max(xs) - min(xs), max(ys) - min(ys)
+    power = 1 + int(np.log2(max(wide, high)))
+    n = 2**power
+    return n, power, {u: (u % 720 - min(xs) + int((n - wide) / 2), u // 720 - min(ys) + int((n - high) / 2)) for _, u, _ in rows}
+
+
+@pytest.mark.parametrize(("extent", "ncells", "offset"), [(1, 2, 0), (2, 4, 1), (3, 4, 0), (4, 8, 2), (7, 8, 0), (8, 16, 4)])
+def test_embedding(spark, extent, ncells, offset):
+    g = Grid.of(panel_of(spark, [(0, 7200 + x, 1.0) for x in (0, extent)]))
+    assert (g.ncells, 0 - g.x0) == (ncells, offset)
+
+
+@pytest.mark.parametrize(("inner", "width", "power", "norm"), [(0, 1, 0, False), (1, 1, 1, False), (1, 2, 0, True), (2, 1, 2, False)])
+def test_convolution(spark, inner, width, power, norm):
+    rows = grid_rows(5, 4, (1, 2))
+    out = result(spatial.grid_convolution(panel_of(spark, rows), inner, width, power, norm))
+    value = {(t, u % 720, u // 720): v for t, u, v in rows}
+    kernel = {}
+    for dx in range(-9, 10):
+        for dy in range(-9, 10):
+            ring = max(abs(dx), abs(dy))
+            if inner <= ring < inner + width or (inner == 0 and ring == 0):
+                kernel[dx, dy] = math.hypot(dx, dy) ** -power if power else 1.0
+    total = sum(kernel.values()) if norm else 1
+    for t, u, _ in rows:
+        expected = sum(w / total * value.get((t, u % 720 + dx, u // 720 + dy), 0) for (dx, dy), w in kernel.items())
+        assert out[t, u] == pytest.approx(expected, abs=1e-9)
+
+
+def test_convolution_does_not_wrap(spark):
+    rows = [(0, 719, 1.0), (0, 720, 2.0), (0, 718, 4.0)]
+    assert result(spatial.grid_convolution(panel_of(spark, rows)))[0, 720] == 4.0 * 0 + 0.0
+
+
+@pytest.mark.parametrize(("theta", "option"), [(0.001, 1), (0.7, 0), (0.7, 2), (1.6, 1)])
+def test_quadtree(spark, theta, option):
+    rows = grid_rows(5, 3, (1, 2))
+    n, power, at = placed(rows)
+    weight = {0: lambda d: 1 / math.log(1 + d), 1: lambda d: 1 / d, 2: lambda d: 1 / d**2}[option]
+    out = result(spatial.quadtree_lag(panel_of(spark, rows), theta, option))
+    value = {(t, *at[u]): v for t, u, v in rows}
+
+    def lag(t, x, y, level, nx, ny):
+        h = 2 ** (power - level)
+        inside = [v for (s, a, b), v in value.items() if s == t and a // h == nx and b // h == ny]
+        if not inside:
+            return 0.0
+        d = math.hypot(x + 0.5 - (nx + 0.5) * h + 0.01, y + 0.5 - (ny + 0.5) * h + 0.01)
+        if h / d > theta:
+            if level == power:
+                return 0.0 if (x, y) == (nx, ny) else sum(inside) * weight(d)
+            return sum(lag(t, x, y, level + 1, 2 * nx + i, 2 * ny + j) for i in (0, 1) for j in (0, 1))
+        return sum(inside) * weight(d)
+
+    for t, u, _ in rows:
+        assert out[t, u] == pytest.approx(lag(t, *at[u], 0, 0, 0), rel=1e-9)
+
+
+@pytest.mark.parametrize("threshold", [0.0, 40.0, 100.0, 1e9])
+def test_adaptive_grid(spark, threshold):
+    rows = grid_rows(5, 3, (1, 2))
+    n, power, at = placed(rows)
+    lagged, grids = spatial.adaptive_grid_lag(panel_of(spark, rows), threshold, {"half": lambda d: 1 / (d + 2)}, keep_grids=True)
+    value = {(t, *at[u]): v for t, u, v in rows}
+
+    def cover(t, level, nx, ny):
+        h = 2 ** (power - level)
+        inside = [v for (s, a, b), v in value.items() if s == t and a // h == nx and b // h == ny]
+        if not inside:
+            return []
+        if sum(inside) > threshold and level < power:
+            return [x for i in (0, 1) for j in (0, 1) for x in cover(t, level + 1, 2 * nx + i, 2 * ny + j)]
+        return [(level, nx, ny, sum(inside))]
+
+    found = {(r.time, r.level, r.nx, r.ny) for r in grids.collect()}
+    assert found == {(t, *c[:3]) for t in (1, 2) for c in cover(t, 0, 0, 0)}
+    out = result(lagged)
+    for t, u, _ in rows:
+        x, y = at[u]
+        expected = 0.0
+        for level, nx, ny, v in cover(t, 0, 0, 0):
+            h = 2 ** (power - level)
+            if not (level == power and (nx, ny) == (x, y)):
+                expected += v / (math.hypot(x + 0.5 - (nx + 0.5) * h, y + 0.5 - (ny + 0.5) * h) + 2)
+        assert out[t, u] == pytest.approx(expected, rel=1e-9)
+
+
+@pytest.mark.parametrize("last", [2, 3, 4, 5, 9, 12, 30])
+@pytest.mark.parametrize("crit", [0.01, 0.5, 1.5])
+def test_temporal_blocks_cover_the_past_once(last, crit):
+    for now in range(1, last):
+        covered = sorted(t for s, w in temporal_tree.blocks(now, 1, last, crit) for t in range(s, s + w) if t >= 1)
+        assert covered == list(range(1, now + 1))
+
+
+@pytest.mark.parametrize("function", temporal_tree.FUNCTIONS)
+def test_temporal_tree(spark, function):
+    rows = [(t, u, float((t * 7 + u * 3) % 11)) for t in range(100, 109) for u in (1, 2)]
+    out = result(temporal_tree.temporal_tree_lag(panel_of(spark, rows), 0.001, function, 4.0))
+    weight = {
+        "uniform": lambda a: 1.0,
+        "oneovert": lambda a: 1 / (a - 0.5 + 1.5),
+        "expon": lambda a: (8 * math.exp(-a / 4) + 6 * math.exp(-(a - 0.5) / 4) - math.exp(-(a - 1) / 4)) / 13,
+        "ramp": lambda a: max(0.0, 1 - a / 4),
+        "sigmoid": lambda a: 1 / (1 + math.exp(-(4 - a) / 0.8)),
+    }[function]
+    value = {(t, u): v for t, u, v in rows}
+    for t, u, _ in rows:
+        expected = 0.0 if t == 108 else sum(weight(t - s) * value[s, u] for s in range(100, t + 1))
+        assert out[t, u] == pytest.approx(expected, rel=1e-9)
+
+
+def test_temporal_tree_last_step(spark):
+    rows = [(t, 1, 1.0) for t in range(5)]
+    out = result(temporal_tree.temporal_tree_lag(panel_of(spark, rows), 0.5, "uniform", fix_last_step=True))
+    assert [out[t, 1] for t in range(5)] == [1, 2, 3, 4, 5]
+
+
+def test_fourier_is_a_circular_convolution(spark):
+    rows = grid_rows(4, 3, (1,))
+    n, _, at = placed(rows)
+    density = np.zeros((n, n))
+    for _, u, v in rows:
+        density[at[u]] = v
+    f = 2 * np.pi * np.fft.fftfreq(n)
+    f[abs(f) < 1e-3] = 1e-3
+    green = np.real(np.fft.ifft2(1 / (f[:, None] ** 2 + f[None, :] ** 2)))
+    phi = np.array([[sum(density[a, b] * green[(i - a) % n, (j - b) % n] for a in range(n) for b in range(n)) for j in range(n)] for i in range(n)])
+    phi -= phi.min()
+    phi *= density.max() / max(phi.max(), 1)
+    out = result(fourier.fourier_lag(panel_of(spark, rows), 2), "flag_v")
+    for _, u, _ in rows:
+        assert out[1, u] == pytest.approx(phi[at[u]], rel=1e-6, abs=1e-6)
+    deep = result(fourier.fourier_lag(panel_of(spark, rows), 3), "flag_v")
+    assert all(0 <= v <= density.max() + 1e-9 for v in deep.values())
+
+
+def test_fourier_missing_and_dimensions(spark):
+    rows = [(1, 1, 1.0), (1, 2, None), (2, 1, 1.0), (2, 2, 0.0)]
+    out = result(fourier.fourier_lag(panel_of(spark, rows), 2), "flag_v")
+    assert out[1, 1] is None and out[2, 1] is not None
+    with pytest.raises(ValueError):
+        fourier.fourier_lag(panel_of(spark, rows), 4)
+    with pytest.raises(ValueError):
+        fourier.fourier_lag(panel_of(spark, rows), 3)
+
+
+def test_mice_recovers_a_linear_relation(spark):
+    rng = np.random.default_rng(0)
+    rows = []
+    for t in range(200):
+        x, z = rng.normal(), rng.normal()
+        y = 2 * x - z + 1
+        rows.append((t, 1, float(x), float(z), None if t % 5 == 0 else float(y), "kept"))
+    p = Panel.ingest(spark.createDataFrame(rows, "time int, unit int, x double, z double, y double, name string"), features=("x", "z", "y"))
+    out = mice.impute(p).df.toPandas()
+    lost = out[out.time % 5 == 0]
+    span = out[out.time % 5 != 0].y
+    assert out.y.between(span.min() - 1e-9, span.max() + 1e-9).all() and set(out.name) == {"kept"}
+    inside = lost[(2 * lost.x - lost.z + 1).between(span.min(), span.max())]
+    assert np.allclose(inside.y, 2 * inside.x - inside.z + 1, atol=1e-2)
+    stacked = mice.impute_stacked(p, 2, max_iter=1)
+    assert stacked.count() == 400 and {r[0] for r in stacked.select("imp").distinct().collect()} == {0, 1}
+
+
+def test_properties(spark):
+    rows = [(t, u, float((t * 5 + u) % 7 + 1)) for t in range(8) for u in range(3)]
+    p = panel_of(spark, rows)
+    back = result(temporal.tlead(temporal.tlag(p, 2), 2))
+    assert all(back[t, u] == v for t, u, v in rows if t < 6)
+    sums = temporal.demean(p).df.groupBy("unit").agg(F.sum("v").alias("s")).collect()
+    assert all(abs(r.s) < 1e-9 for r in sums)
+    constant = panel_of(spark, [(t, 1, 3.0) for t in range(6)])
+    assert result(temporal.temporal_entropy(constant, 4))[5, 1] == pytest.approx(2.0)
+    zero = panel_of(spark, [(0, 1, 1.0), (1, 1, 0.0)])
+    assert result(temporal.temporal_entropy(zero, 2)) == {(0, 1): pytest.approx(0.0), (1, 1): None}
+
+
+def test_scalar_edges(spark):
+    p = panel_of(spark, [(0, 1, -1.0), (1, 1, -2.0), (2, 1, 0.0), (3, 1, None)])
+    assert [result(pointwise.ln(p))[t, 1] for t in range(4)] == [-math.inf, None, 0.0, None]
+    two = Panel.ingest(spark.createDataFrame([(0, 1, 1.0, 0.0), (1, 1, -1.0, 0.0), (2, 1, 0.0, 0.0), (3, 1, 6.0, 3.0), (4, 1, None, 0.0)], "time int, unit int, a double, b double"))
+    out = result(pointwise.divide_column(two), "a")
+    assert [out[t, 1] for t in range(5)] == [math.inf, -math.inf, None, 2.0, None]
+    assert result(pointwise.decay(p, 2.0))[1, 1] == 2.0
+
+
+def test_seeded_runs(spark):
+    rows = [(1, 1, 0.0), (2, 1, 0.0), (3, 1, 5.0), (2, 2, 0.0), (3, 2, 0.0), (1, 3, None), (2, 3, 0.0)]
+    out = result(runs.cweq(panel_of(spark, rows), 0, seed=10))
+    assert out == {(1, 1): 10, (2, 1): 11, (3, 1): 0, (2, 2): 1, (3, 2): 2, (2, 3): 1}
+
+
+def test_tick(spark):
+    df = spark.createDataFrame([(1, 1, 0.0, 4.0), (2, 1, 1.0, 5.0), (1, 2, 3.0, 4.0), (2, 2, 0.0, 0.0)], "time int, unit int, e double, s double")
+    out = runs.tick_time_since(Panel.ingest(df), "e", "s").df.collect()
+    assert {(r.time, r.unit): r.s for r in out} == {(2, 1): 5.0, (2, 2): 0.0}
+
+
+def test_group_means(spark):
+    rows = [(0, 1, None), (1, 1, None), (0, 2, 2.0), (1, 2, None), (0, 3, 4.0), (1, 3, 8.0)]
+    p = panel_of(spark, rows)
+    assert result(missing.fill_groups_with_time_means(p)) == {(0, 1): 3.0, (1, 1): 8.0, (0, 2): 2.0, (1, 2): None, (0, 3): 4.0, (1, 3): 8.0}
+    filled = result(missing.fill_with_group_and_global_means(p))
+    assert filled[1, 2] == 2.0 and filled[0, 1] == pytest.approx((2 + 2 + 4 + 8) / 4)
+
+
+def test_validation(spark):
+    p = panel_of(spark, [(0, 1, 1.0), (1, 1, 2.0)])
+    for fn in (temporal.tlag, temporal.tlead, temporal.moving_average, temporal.moving_sum):
+        with pytest.raises(RuntimeError):
+            fn(p, 0)
+    with pytest.raises(ValueError):
+        pointwise.add_column(p)
+    with pytest.raises(ValueError):
+        spatial.quadtree_lag(p, 1.0, 3)
+    with pytest.raises(ValueError):
+        spatial.adaptive_grid_lag(p, 1.0, split_criterion="max")
+    with pytest.raises(ValueError):
+        spatial.kernel(0, 1, 1.0)
+    with pytest.raises(ValueError):
+        temporal_tree.temporal_tree_lag(p, 1.0, "other")
+    with pytest.raises(ValueError):
+        network.country_lag(p, None, None, 0, 1, -1.0)
+    with pytest.raises(ValueError):
+        panel_of(spark, [(0, 1, 1.0), (1, 2, 2.0)]).assert_balanced()
+    with pytest.raises(ValueError):
+        apply_transforms(p, [{"type": "none"}])
+
+
+def test_country_lag_missing_neighbour(spark):
+    p = Panel.ingest(spark.createDataFrame([(1, 1, 1.0), (1, 2, None), (1, 3, float("inf")), (1, 4, 5.0)], "time int, unit int, v double"))
+    edges = spark.createDataFrame([(1, 1, 2), (1, 2, 1), (1, 1, 3), (1, 3, 1), (1, 3, 4), (1, 4, 3)], "month_id int, a_id int, b_id int")
+    centroids = spark.createDataFrame([(i, float(i), 0.0) for i in range(1, 5)], "id int, lat double, lon double")
+    out = result(network.country_lag(p, edges, centroids))
+    assert out == {(1, 1): None, (1, 2): 1.0, (1, 3): 6.0, (1, 4): 0.0}
+    far = result(network.country_lag(p, edges, centroids, 2, 1, 1.0))
+    assert far[1, 4] == 3.0 and far[1, 2] == 0.0  # two hops away: 1 (distance 3), and 3 (infinite)
+
+
+def test_one_shuffle_for_a_chain(spark):
+    p = panel_of(spark, [(t, u, 1.0) for t in range(5) for u in range(5)])
+    out = apply_transforms(p, [{"type": "tlag", "args": [1]}, {"type": "moving_average", "args": [3]}, {"type": "demean"}]).df
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+    assert len(TRANSFORMS) >= 38
+
+
+def test_io_and_datacube(spark, tmp_path):
+    p = panel_of(spark, grid_rows(2, 2, range(4)))
+    panels.write_panel(p, str(tmp_path / "p"), by_time=True)
+    again = panels.read_panel(spark, str(tmp_path / "p"), features=["v"])
+    assert sorted(again.df.select("time", "unit", "v").collect()) == sorted(p.df.select("time", "unit", "v").collect())
+    part = panels.between(temporal.moving_sum(panels.read_times(again, 2, 3, halo=1), 2), 2, 3)
+    whole = panels.between(temporal.moving_sum(again, 2), 2, 3)
+    assert result(part) == result(whole)
+    cube, times, units = p.to_datacube()
+    assert cube.shape == (4, 4, 1) and times == [0, 1, 2, 3]
+    sparse = p.with_df(p.df.where("time <> 2 or unit = 2167"))
+    assert sparse.densify().df.count() == 16
