@@ -61,9 +61,10 @@ def repeated_lines(s: Slice) -> np.ndarray:
     if not n:
         return np.zeros(docs, np.int64)
     newline = np.flatnonzero(s.data == 10)
-    start = np.sort(np.concatenate([s.offsets[:-1], newline + 1]))
+    # a line starts a text that is not empty, or follows a line end that is not the text's last byte
+    inner = newline[newline + 1 < s.offsets[1:][np.searchsorted(s.offsets[1:], newline, "right")]]
+    start = np.sort(np.concatenate([s.offsets[:-1][np.diff(s.offsets) > 0], inner + 1]))
     doc = np.searchsorted(s.offsets[1:], start, "right")
-    start, doc = start[doc < docs], doc[doc < docs]
     end = np.minimum(np.append(newline, n)[np.searchsorted(newline, start)], s.offsets[1:][doc])
     worded = np.searchsorted(s.starts, end) > np.searchsorted(s.starts, start)
     start, end, doc = start[worded], end[worded], doc[worded]

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from .common import materialize
 from .text import SLICE_BYTES, Slice, mix, slices, window_docs, window_hash
 
-WINDOW, GRAM, BROADCAST_ENTRIES = 35, 8, 6_000_000
+WINDOW, GRAM, BROADCAST_ENTRIES = 35, 8, 4_000_000
 
 
 class Windows:
@@ -98,12 +98,12 @@ class Known:
 
 
 def _collect(found: DataFrame) -> Known:
-    rows = found.toPandas()
-    return Known(rows["h"].to_numpy(np.int64).view(np.uint64), rows["flag"].to_numpy(np.int8))
+    rows = found.toArrow()
+    return Known(rows.column("h").to_numpy().view(np.uint64), rows.column("flag").to_numpy().astype(np.int8))
 
 
 class Repeats:
-    """The search for repeated passages of `docs` (row, doc_id, text)."""
+    """The search for repeated passages of `docs` (doc_id, text)."""
 
     def __init__(self, docs: DataFrame, broadcast_entries: int = BROADCAST_ENTRIES) -> None:
         self.docs, self.spark, self.limit = docs, docs.sparkSession, broadcast_entries
@@ -135,23 +135,29 @@ class Repeats:
         return docs.mapInArrow(run, "h long, n int")
 
     def joined(self) -> DataFrame:
-        """The other way: row, text and the document's repeated windows as `wins` (array of long), by joins."""
+        """The other way: doc_id, text and the row's repeated windows as `wins` (array of long), by joins.
 
-        def anchors_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        A row is known by its id and the hash of its text; equal rows have equal windows.
+        """
+        key = ["k1", "k2"]
+        docs = self.docs.withColumns({"k1": F.coalesce("doc_id", F.lit(0)), "k2": F.xxhash64("text", F.col("doc_id").isNull())})
+
+        def served(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                rows = batch.column("row").to_numpy()
+                k1, k2 = (batch.column(x).to_numpy() for x in key)
                 for s in slices(batch.column("text")):
                     w = Windows(s)
+                    at = s.lo + w.doc[w.first] if len(w.first) else np.empty(0, np.int64)
                     lists = pa.ListArray.from_arrays(pa.array(np.r_[w.first, len(w.hash)].astype(np.int32)), pa.array(w.hash.view(np.int64)))
-                    yield pa.RecordBatch.from_arrays([pa.array(rows[s.lo + w.doc[w.first]] if len(w.first) else np.empty(0, np.int64)), pa.array(w.anchor.view(np.int64)), lists], names=["row", "h", "wins"])
+                    yield pa.RecordBatch.from_arrays([pa.array(k1[at]), pa.array(k2[at]), pa.array(w.anchor.view(np.int64)), lists], names=[*key, "h", "wins"])
 
-        served = self.docs.select("row", "text").mapInArrow(anchors_of, "row long, h long, wins array<long>")
-        hits = materialize(served.join(self.anchors, "h").select("row", "flag", "wins"), "hits")
-        mixed = hits.where("flag = 2").select("row", F.explode("wins").alias("w"))
+        rows = docs.select(*key, "text").mapInArrow(served, "k1 long, k2 long, h long, wins array<long>")
+        hits = materialize(rows.join(self.anchors, "h").select(*key, "flag", "wins"), "hits")
+        mixed = hits.where("flag = 2").select(*key, F.explode("wins").alias("w"))
         twice = mixed.groupBy("w").agg(F.count("*").alias("n")).where("n > 1").select("w")
-        sure = hits.where("flag = 1").select("row", F.explode("wins").alias("w"))
-        repeated = sure.union(mixed.join(twice, "w").select("row", "w")).groupBy("row").agg(F.collect_set("w").alias("wins"))
-        return self.docs.join(repeated, "row", "left")
+        sure = hits.where("flag = 1").select(*key, F.explode("wins").alias("w"))
+        repeated = sure.union(mixed.join(twice, "w").select(*key, "w")).groupBy(*key).agg(F.collect_set("w").alias("wins"))
+        return docs.join(repeated, key, "left").select("doc_id", "text", "wins")
 
 
 def passages(s: Slice, w: Windows, repeated: np.ndarray) -> list[tuple[int, int, int]]:
@@ -189,8 +195,7 @@ def locate(s: Slice, found: list[tuple[int, int, int]], words: np.ndarray) -> np
 def remove_repeats(docs: DataFrame, broadcast_entries: int = BROADCAST_ENTRIES) -> DataFrame:
     """doc_id, n_words, n_removed and kept (the words left, joined by one space) of every row."""
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    plain = docs.withColumn("row", F.monotonically_increasing_id())
-    search = Repeats(plain, broadcast_entries)
+    search = Repeats(docs, broadcast_entries)
     anchors, windows = search.confirmed()
     sent = docs.sparkSession.sparkContext.broadcast((anchors, windows)) if windows is not None else None
 
@@ -219,6 +224,6 @@ def remove_repeats(docs: DataFrame, broadcast_entries: int = BROADCAST_ENTRIES)
                     kept.append(b" ".join(words).decode("utf-8", "replace"))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.concatenate(n_words).astype(np.int64)), pa.array(np.concatenate(n_removed).astype(np.int64)), pa.array(kept, pa.string())], names=["doc_id", "n_words", "n_removed", "kept"])
 
-    source = plain.select("doc_id", "text") if sent is not None else search.joined().select("doc_id", "text", "wins")
+    source = docs if sent is not None else search.joined()
     return source.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept string")
 

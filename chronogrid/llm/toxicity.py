@@ -125,7 +125,7 @@ def _features(s: Slice, value: np.ndarray) -> np.ndarray:
 def learn(docs: DataFrame, discount: float = DISCOUNT) -> Model:
     """The model of text and toxic (null: not labelled, for the shared counts only)."""
     rows = docs.select("text", F.col("toxic").cast("int")).mapInArrow(_count, "slot int, ordinary long, toxic long, bits long")
-    found = rows.groupBy("slot").agg(F.sum("ordinary").alias("ordinary"), F.sum("toxic").alias("toxic"), F.bit_or("bits").alias("bits")).toPandas()
+    found = rows.groupBy("slot").agg(F.sum("ordinary").alias("ordinary"), F.sum("toxic").alias("toxic"), F.bit_or("bits").alias("bits")).toArrow().to_pandas()
     arrays = [np.zeros(SLOTS), np.zeros(SLOTS)]
     bits = np.zeros(SLOTS, np.uint64)
     arrays[0][found.slot], arrays[1][found.slot] = found.ordinary, found.toxic
@@ -190,7 +190,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, discount: float = DISCOUNT, cal
     model = learn(texts.join(marked, "doc_id", "left"), discount)
     # the calibration rows: at most so many, with the smallest hashes of their ids
     ids = materialize(marked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(calibration_rows), "calibration")
-    found = own_left_out(texts.join(broadcast_if_small(ids), "doc_id"), model).toPandas()
+    found = own_left_out(texts.join(broadcast_if_small(ids), "doc_id"), model).toArrow().to_pandas()
     both = found.toxic.nunique() == 2
     weights = fit_logistic(found[[f"f{k}" for k in range(_FEATURES)]].to_numpy(), found.toxic.to_numpy(float)) if both else None
     out = score_texts(docs, model, weights)
