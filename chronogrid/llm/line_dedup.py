@@ -45,7 +45,7 @@ def boilerplate(lines: DataFrame, min_sites: int = MIN_SITES, band: float = BAND
 def _without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         at, texts = batch.schema.get_field_index("text"), []
-        for text, removed in zip(batch.column("text").to_pylist(), batch.column("removed").to_pylist(), strict=True):
+        for text, removed in zip(batch.column("text").to_pylist(), batch.column("__removed").to_pylist(), strict=True):
             if text is not None and removed:
                 gone = set(removed)
                 text = "\n".join(x for k, x in enumerate(text.split("\n")) if k not in gone)
@@ -55,18 +55,18 @@ def _without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def line_dedup(docs: DataFrame, min_sites: int = MIN_SITES, band: float = BAND) -> DataFrame:
     """The rows of `docs` with text cleaned, n_lines and n_removed added (and replacing columns so named)."""
-    docs = docs.drop("n_lines", "n_removed", "removed", "th")
+    docs = docs.drop("n_lines", "n_removed")
     lines = exploded(docs)
     found = broadcast_if_small(boilerplate(lines, min_sites, band))
     first = F.col("doc_id").eqNullSafe(F.col("first_doc")) & (F.col("pos") == F.col("first_pos"))
     hits = lines.join(found, _HASHES).where(~first).select("doc_id", "th", "pos")
-    removed = hits.groupBy("doc_id", "th").agg(F.sort_array(F.collect_set("pos")).alias("removed")).withColumnRenamed("doc_id", "removed_from")
+    removed = hits.groupBy(F.col("doc_id").alias("__doc"), F.col("th").alias("__th")).agg(F.sort_array(F.collect_set("pos")).alias("__removed"))
     removed = broadcast_if_small(materialize(removed, "removed"), 20_000)
     worded = F.size(F.filter(F.split("text", "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
-    joined = docs.withColumns({"th": F.xxhash64("text"), "n_lines": F.when(F.col("text").isNull(), 0).otherwise(worded).cast("long")})
-    joined = joined.join(removed.withColumnRenamed("th", "removed_th"), F.col("doc_id").cast("long").eqNullSafe(F.col("removed_from")) & (F.col("th") == F.col("removed_th")), "left")
-    out = joined.drop("removed_from", "removed_th", "th").withColumn("n_removed", F.greatest(F.size("removed"), F.lit(0)).cast("long"))
-    return out.mapInArrow(_without, out.schema).drop("removed")
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__doc")) & (F.xxhash64("text") == F.col("__th"))
+    joined = docs.withColumn("n_lines", F.when(F.col("text").isNull(), 0).otherwise(worded).cast("long")).join(removed, same, "left")
+    out = joined.drop("__doc", "__th").withColumn("n_removed", F.greatest(F.size("__removed"), F.lit(0)).cast("long"))
+    return out.mapInArrow(_without, out.schema).drop("__removed")
 
 
 def oracle_sql(min_sites: int = MIN_SITES) -> str:

@@ -47,7 +47,7 @@ def test_equals_brute_force(spark):
     data = docs()
     out = L.line_dedup(corpus.frame(spark, data))
     assert {r.doc_id: (r.n_lines, r.n_removed, r.text) for r in out.collect()} == brute(data)
-    assert set(out.columns) == {"doc_id", "text", "lang", "source", "n_chars", "n_words", "key", "n_lines", "n_removed"}
+    assert set(out.columns) == {"doc_id", "text", "lang", "source", "n_chars", "n_words", "removed", "key", "n_lines", "n_removed"}
 
 
 def test_sql(spark):

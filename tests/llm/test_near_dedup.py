@@ -81,6 +81,19 @@ def test_large_families_stay_whole(spark):
     assert {i: got[i] for i in want} == want and {got[i] for i in range(180, 380)} == {180}
 
 
+def test_a_chain_of_edits_is_one_class(spark):
+    """Each text is an edit of the one before; ends of the chain are far apart."""
+    rng = random.Random(8)
+    w = [f"w{rng.randrange(10**6)}" for _ in range(80)]
+    docs = []
+    for i in range(60):
+        docs.append((i, " ".join(w), "", "", 0, 0, "", ""))
+        w[rng.randrange(80)] = f"w{rng.randrange(10**6)}"
+    want = brute(docs)
+    assert similarity(docs[0][1], docs[59][1]) < 0.5 and set(want.values()) == {0}
+    assert {r.doc_id: r.class_id for r in N.near_duplicates(corpus.frame(spark, docs)).collect()} == want
+
+
 def test_shared_passage_does_not_link(spark):
     rng = random.Random(3)
     shared = corpus.prose(rng, corpus.EN, 40)
