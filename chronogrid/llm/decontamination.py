@@ -1,6 +1,6 @@
 """Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
 
-Words are compared lower-cased and without ASCII punctuation, as 64-bit hashes.  Of an item's n-grams the
+Words are compared lower-cased (in every alphabet) and without ASCII punctuation, as 64-bit hashes.  Of an item's n-grams the
 rarest in the corpus in each run of `window` consecutive ones are its seeds, so every part of every item
 has a seed however frequent the item is.  Seeds join passages to items inside one pass over the documents;
 around each seed's diagonal a local alignment (match 1, mismatch and gap -1) scores the passage, divided by
@@ -23,10 +23,10 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, materialize
 from .text import normalised_slices, window_docs, window_hash
 
 N, WINDOW, MIN_SCORE, MIN_WORDS, BLOCK_BYTES = 3, 5, 0.5, 5, 4 << 20
@@ -41,7 +41,7 @@ class Items:
     @classmethod
     def of(cls, rows: list[tuple[int | None, str]], min_words: int) -> Items:
         ids, words = [], []
-        for s in normalised_slices(pa.array([t for _, t in rows], pa.string())):
+        for s in normalised_slices(_lower(pa.array([t for _, t in rows], pa.string()))):
             h = s.hashes()
             for k in range(s.lo, s.hi):
                 own = h[s.first[k - s.lo] : s.first[k - s.lo + 1]]
@@ -101,44 +101,60 @@ def regions(diagonals: np.ndarray, length: int, slack: int, lo: int, hi: int) ->
     return [(max(lo, int(g[0]) - slack), min(hi, int(g[-1]) + length + slack), g) for g in np.split(d, split)]
 
 
-def search(docs: DataFrame, items: Items, seeds: tuple[np.ndarray, np.ndarray, np.ndarray], min_score: float = MIN_SCORE) -> DataFrame:
-    """Passages of documents that align with items."""
+def _lower(col: pa.Array) -> pa.Array:
+    return pc.utf8_lower(col.cast(pa.string()))
+
+
+Seeds = tuple[np.ndarray, np.ndarray, np.ndarray]
+
+
+def _finder(items: Items, seeds: Seeds, min_score: float):
+    """A function of a text array: (row, item, score, first word, last word) of the passages that align."""
     keys, seed_item, seed_at = seeds
     vocabulary = [np.unique(w) for w in items.words]
 
+    def find(texts: pa.Array) -> Iterator[tuple[int, int, float, int, int]]:
+        for s in normalised_slices(_lower(texts)):
+            h = s.hashes()
+            at, doc = window_docs(s.first, N)
+            grams = window_hash(h, N)[at]
+            lo, hi = np.searchsorted(keys, grams, "left"), np.searchsorted(keys, grams, "right")
+            hit = np.flatnonzero(hi > lo)
+            times = (hi - lo)[hit]
+            which = np.repeat(lo[hit], times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+            hit = np.repeat(hit, times)
+            pair = doc[hit] * len(items.words) + seed_item[which]
+            diagonal = at[hit] - seed_at[which]
+            order = np.argsort(pair, kind="stable")
+            for group in np.split(order, np.flatnonzero(np.diff(pair[order])) + 1):
+                if not len(group):
+                    continue
+                d, k = divmod(int(pair[group[0]]), len(items.words))
+                item, begin, end = items.words[k], int(s.first[d]), int(s.first[d + 1])
+                n = len(item)
+                for x, y, own in regions(diagonal[group], n, max(6, n // 4), begin, end):
+                    exact = next((int(g) for g in own if begin <= g and g + n <= end and np.array_equal(h[g : g + n], item)), None)
+                    if exact is not None:  # an equal passage has the full score
+                        score, first, last = 1.0, exact, exact + n - 1
+                    elif np.isin(h[x:y], vocabulary[k]).sum() < min_score * n:
+                        continue
+                    else:
+                        found, first, last = smith_waterman(item, h[x:y])
+                        score, first, last = found / n, first + x, last + x
+                    if score >= min_score:
+                        yield s.lo + d, k, score, first - begin, last - begin
+
+    return find
+
+
+def search(docs: DataFrame, items: Items, seeds: Seeds, min_score: float = MIN_SCORE) -> DataFrame:
+    """Passages of documents that align with items."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        find = _finder(items, seeds, min_score)
         for batch in batches:
-            out: list[tuple] = []
             ids = batch.column("doc_id")
-            for s in normalised_slices(batch.column("text")):
-                h = s.hashes()
-                at, doc = window_docs(s.first, N)
-                grams = window_hash(h, N)[at]
-                lo, hi = np.searchsorted(keys, grams, "left"), np.searchsorted(keys, grams, "right")
-                hit = np.flatnonzero(hi > lo)
-                times = (hi - lo)[hit]
-                which = np.repeat(lo[hit], times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
-                hit = np.repeat(hit, times)
-                pair = doc[hit] * len(items.words) + seed_item[which]
-                diagonal = at[hit] - seed_at[which]
-                order = np.argsort(pair, kind="stable")
-                for group in np.split(order, np.flatnonzero(np.diff(pair[order])) + 1):
-                    if not len(group):
-                        continue
-                    d, k = divmod(int(pair[group[0]]), len(items.words))
-                    item, begin, end = items.words[k], int(s.first[d]), int(s.first[d + 1])
-                    n = len(item)
-                    for x, y, own in regions(diagonal[group], n, max(6, n // 4), begin, end):
-                        if any(begin <= g and g + n <= end and np.array_equal(h[g : g + n], item) for g in own):
-                            g = next(g for g in own if begin <= g and g + n <= end and np.array_equal(h[g : g + n], item))
-                            score, first, last = 1.0, int(g), int(g) + n - 1
-                        else:
-                            if np.isin(h[x:y], vocabulary[k]).sum() < min_score * n:
-                                continue
-                            found, first, last = smith_waterman(item, h[x:y])
-                            score, first, last = found / n, first + x, last + x
-                        if score >= min_score:
-                            out.append((ids[s.lo + d].as_py(), items.ids[k], score, first - begin, last - begin))
+            out = [(ids[row].as_py(), items.ids[k], *rest) for row, k, *rest in find(batch.column("text"))]
             columns = list(zip(*out, strict=True)) if out else [[]] * 5
             types = [pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["doc_id", "item_id", "score", "first_word", "last_word"])
@@ -152,7 +168,7 @@ def corpus_counts(docs: DataFrame, grams: np.ndarray) -> dict[int, int]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(len(grams), np.int64)
         for batch in batches:
-            for s in normalised_slices(batch.column("text")):
+            for s in normalised_slices(_lower(batch.column("text"))):
                 found = window_hash(s.hashes(), N)[window_docs(s.first, N)[0]]
                 at = np.minimum(np.searchsorted(grams, found), len(grams) - 1)
                 total += np.bincount(at[grams[at] == found], minlength=len(grams))
@@ -166,7 +182,7 @@ def corpus_counts(docs: DataFrame, grams: np.ndarray) -> dict[int, int]:
 def _blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[list[tuple[int | None, str]]]:
     own: list[tuple[int | None, str]] = []
     size = 0
-    for r in benchmark.select(F.col("item_id").cast("long"), F.lower("text").alias("text")).where("text is not null").toLocalIterator():
+    for r in benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).where("text is not null").toLocalIterator():
         own.append((r.item_id, r.text))
         size += len(r.text)
         if size >= block_bytes:
@@ -178,7 +194,7 @@ def _blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[list[tuple[int |
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, min_score: float = MIN_SCORE, min_words: int = MIN_WORDS, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, item_id, score, first_word, last_word of each passage of `docs` that aligns with an item."""
-    docs = docs.select(F.col("doc_id").cast("long"), F.lower("text").alias("text"))
+    docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     parts = []
     for block in _blocks(benchmark, block_bytes):
         items = Items.of(block, min_words)
@@ -187,7 +203,22 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, min_score: float = MIN_S
     return reduce(DataFrame.union, parts) if parts else docs.sparkSession.createDataFrame([], _SCHEMA)
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The rows of `docs` without a passage of the benchmark; rows with a null doc_id stay."""
-    found = materialize(contaminated(docs, benchmark, **options).select("doc_id").where("doc_id is not null").distinct(), "contaminated")
-    return docs.join(broadcast_if_small(found), "doc_id", "left_anti")
+def decontaminate(docs: DataFrame, benchmark: DataFrame, min_score: float = MIN_SCORE, min_words: int = MIN_WORDS, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The rows of `docs`, all columns, without a passage of the benchmark: decided row by row, no shuffle."""
+    counted = docs.select(F.col("text").cast("string"))
+    for block in _blocks(benchmark, block_bytes):
+        items = Items.of(block, min_words)
+        if items.words:
+            docs = docs.mapInArrow(_keeper(items, items.seeds(corpus_counts(counted, items.grams()), window), min_score), docs.schema)
+    return docs
+
+
+def _keeper(items: Items, seeds: Seeds, min_score: float):
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        find = _finder(items, seeds, min_score)
+        for batch in batches:
+            clean = np.ones(batch.num_rows, bool)
+            clean[[row for row, *_ in find(batch.column("text"))]] = False
+            yield batch.filter(pa.array(clean))
+
+    return keep

@@ -83,23 +83,45 @@ def classify(text: bytes, by_lang: list[tuple[str, zstandard.ZstdCompressor]], b
     return sizes[0][1], (sizes[1][0] - sizes[0][0]) / sizes[1][0]
 
 
+def _judge(dictionaries: dict[str, bytes], min_margin: float, block_bytes: int, level: int):
+    """A function of text arrays: languages, margins and whether each is rejected."""
+    by_lang = compressors(dictionaries, level)
+
+    def judge(texts: pa.Array) -> tuple[list[str], list[float], list[bool]]:
+        langs, scores = [], []
+        for text in texts.cast(pa.binary()):
+            lang, score = (UNKNOWN, 0.0) if not text.is_valid else classify(text.as_py(), by_lang, block_bytes)
+            langs.append(lang)
+            scores.append(score)
+        return langs, scores, [lang == UNKNOWN or score < min_margin for lang, score in zip(langs, scores, strict=True)]
+
+    return judge
+
+
 def identify(docs: DataFrame, dictionaries: dict[str, bytes], min_margin: float = MIN_MARGIN, block_bytes: int = BLOCK_BYTES, level: int = LEVEL) -> DataFrame:
     """doc_id, lang_pred, score (the margin) and rejected for every row; no shuffle."""
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by_lang = compressors(dictionaries, level)
+        judge = _judge(dictionaries, min_margin, block_bytes, level)
         for batch in batches:
-            langs, scores = [], []
-            for text in batch.column("text").cast(pa.binary()):
-                lang, score = (UNKNOWN, 0.0) if not text.is_valid else classify(text.as_py(), by_lang, block_bytes)
-                langs.append(lang)
-                scores.append(score)
-            rejected = [lang == UNKNOWN or score < min_margin for lang, score in zip(langs, scores, strict=True)]
+            langs, scores, rejected = judge(batch.column("text"))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(rejected, pa.bool_())], names=["doc_id", "lang_pred", "score", "rejected"])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(predict, "doc_id long, lang_pred string, score double, rejected boolean")
 
 
+def drop_rejected(docs: DataFrame, min_margin: float = MIN_MARGIN, block_bytes: int = BLOCK_BYTES, level: int = LEVEL) -> DataFrame:
+    """The rows of `docs`, all columns, that are not rejected: decided row by row in one pass, no shuffle."""
+    dictionaries = learn(docs.select("doc_id", "text", "lang").where(~held_out("doc_id")))
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        judge = _judge(dictionaries, min_margin, block_bytes, level)
+        for batch in batches:
+            yield batch.filter(pa.array([not x for x in judge(batch.column("text"))[2]], pa.bool_()))
+
+    return docs.mapInArrow(keep, docs.schema)
+
+
 def language_id(docs: DataFrame, min_margin: float = MIN_MARGIN) -> DataFrame:
     """Learn from the rows that are not held out and predict all: doc_id, held_out, lang_pred, score, rejected."""
     learned = learn(docs.select("doc_id", "text", "lang").where(~held_out("doc_id")))
