@@ -11,21 +11,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronogrid.llm import decontamination, language_id, line_dedup, mixing, near_dedup
-from chronogrid.llm.common import broadcast_if_small, materialize, table
+from chronogrid.llm.common import materialize, table
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language the compressors settle; rejected ones go. Rows without a doc_id are kept."""
-    verdicts = language_id.language_id(docs).where("rejected and doc_id is not null").select("doc_id").distinct()
-    return docs.join(broadcast_if_small(materialize(verdicts, "rejected")), "doc_id", "left_anti").select(docs.columns)
+    """Documents whose language the compressors settle; rejected ones go."""
+    return language_id.drop_rejected(docs)
 
 
 def remove_boilerplate_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without cross-site boilerplate lines; documents of which no word is left go."""
-    cleaned = line_dedup.line_dedup(docs)
+    own = {c: f"__own_{c}" for c in ("n_lines", "n_removed") if c in docs.columns}
+    cleaned = line_dedup.line_dedup(docs.withColumnsRenamed(own))
     empty = (F.col("n_removed") > 0) & ~F.col("text").rlike(r"[^\x20\x09-\x0D]")
     length = {"n_chars": F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {}
-    return cleaned.where(~F.coalesce(empty, F.lit(False))).withColumns(length).select(docs.columns)
+    kept = cleaned.where(~F.coalesce(empty, F.lit(False))).withColumns(length)
+    return kept.drop("n_lines", "n_removed").withColumnsRenamed({v: k for k, v in own.items()}).select(docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,7 +36,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a passage of the benchmark."""
-    return decontamination.decontaminate(docs, table(spark, sf_dir, "benchmark")).select(docs.columns)
+    return decontamination.decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mix_to_targets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
