@@ -47,9 +47,9 @@ def gappy(spark: SparkSession, sf_dir: str) -> Panel:
 def cells(spark: SparkSession, sf_dir: str, above: float | None = None) -> Panel:
     """daily() on a grid, or only the values above a bound (others 0); v is present everywhere."""
     p = daily(spark, sf_dir).filled()
-    pgid = F.floor(F.col("unit") / GRID_WIDTH) * GRID_STRIDE + F.col("unit") % GRID_WIDTH
+    cell = F.floor(F.col("unit") / GRID_WIDTH) * GRID_STRIDE + F.col("unit") % GRID_WIDTH
     v = F.col("v") if above is None else F.when(F.col("v") > above, F.col("v")).otherwise(F.lit(0.0))
-    return p.with_df(p.df.select("time", pgid.cast("long").alias("unit"), v.alias("v")))
+    return p.with_df(p.df.select("time", cell.cast("long").alias("unit"), v.alias("v")))
 
 
 def countries(spark: SparkSession, sf_dir: str) -> Panel:

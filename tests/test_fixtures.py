@@ -46,8 +46,8 @@ def test_replace_na_after_a_shift(spark):
 )
 def test_spacetime_nearest(spark, size, mode, nu, power, expected):
     rows = [(m, y * 720 + x, size if (m, x, y) == (101, 1, 1) else 0.0) for m in (100, 101, 102) for y in range(3) for x in range(3)]
-    p = Panel.ingest(spark.createDataFrame(rows, "month int, pgid long, ged_sb double"), "month", "pgid")
-    out = {(r.month, r.pgid): r.ged_sb for r in knn.spacetime_distances(p, mode, 1, nu, power).df.collect()}
+    p = Panel.ingest(spark.createDataFrame(rows, "month int, cell long, deaths double"), "month", "cell")
+    out = {(r.month, r.cell): r.deaths for r in knn.spacetime_distances(p, mode, 1, nu, power).df.collect()}
     assert len(out) == 27
     for key, value in expected.items():
         assert out[key] == pytest.approx(value, rel=1e-3)
@@ -56,11 +56,11 @@ def test_spacetime_nearest(spark, size, mode, nu, power, expected):
 @pytest.mark.parametrize(("inner", "width", "expected"), [(0, 0, "zero"), (0, 1, "same"), (1, 1, "ring")])
 def test_country_ring(spark, inner, width, expected):
     data = [(229, 57, 0.0), (229, 59, 281.0), (229, 120, 0.0), (229, 235, 18.0), (229, 237, 18.0), (229, 242, 0.0)]
-    p = Panel.ingest(spark.createDataFrame(data, "month int, country int, ged_sb double"), "month", "country")
+    p = Panel.ingest(spark.createDataFrame(data, "month int, country int, deaths double"), "month", "country")
     pairs = [(237, 59), (237, 235), (57, 120), (120, 242)]
     edges = spark.createDataFrame([(229, a, b) for x, y in pairs for a, b in ((x, y), (y, x))], "month_id int, a_id int, b_id int")
     centroids = spark.createDataFrame([(c, float(i), float(i % 3)) for i, (_, c, _) in enumerate(data)], "id int, lat double, lon double")
-    out = {r.country: r.ged_sb for r in network.country_lag(p, edges, centroids, inner, width).df.collect()}
+    out = {r.country: r.deaths for r in network.country_lag(p, edges, centroids, inner, width).df.collect()}
     if expected == "ring":
         assert out[237] == 299
     else:
