@@ -20,6 +20,20 @@ def ball(start: DataFrame, edges: DataFrame, order: int) -> DataFrame:
     return found
 
 
+def country_distances(centroids: DataFrame) -> DataFrame:
+    """(a_id, b_id, dist) of every ordered pair of (id, lat, lon), in degrees on a plane.
+
+    As many rows as the square of the number of countries, a few hundred: one side is broadcast.
+    """
+    a = centroids.select(F.col("id").alias("a_id"), F.col("lat").alias("lat0"), F.col("lon").alias("lon0"))
+    b = centroids.select(F.col("id").alias("b_id"), F.col("lat").alias("lat1"), F.col("lon").alias("lon1"))
+    return a.crossJoin(F.broadcast(b)).select("a_id", "b_id", _far().alias("dist"))
+
+
+def _far():
+    return F.sqrt(F.pow(F.col("lat0") - F.col("lat1"), F.lit(2.0)) + F.pow(F.col("lon0") - F.col("lon1"), F.lit(2.0)))
+
+
 def country_lag(
     panel: Panel,
     edges: DataFrame,
@@ -48,8 +62,7 @@ def country_lag(
     units = panel.df.select(F.col(panel.unit).alias("member")).distinct()
     ring = ring.join(units, "member", "left_semi")
     at = lambda k, name: centroids.select(F.col("id").alias(name), F.col("lat").alias(f"lat{k}"), F.col("lon").alias(f"lon{k}"))
-    far = F.sqrt(F.pow(F.col("lat0") - F.col("lat1"), F.lit(2.0)) + F.pow(F.col("lon0") - F.col("lon1"), F.lit(2.0)))
-    weight = F.pow(far, F.lit(float(kernel_power))) if kernel_power else F.lit(1.0)
+    weight = F.pow(_far(), F.lit(float(kernel_power))) if kernel_power else F.lit(1.0)
     weighted = ring.join(at(0, "unit"), "unit").join(at(1, "member"), "member").select("month", "unit", "member", weight.alias("weight"))
     values = panel.df.select(F.col(panel.time).alias("month"), F.col(panel.unit).alias("member"), F.lit(True).alias("here"), *panel.features)
     joined = weighted.join(values, ["month", "member"], "left")

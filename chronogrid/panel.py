@@ -50,6 +50,10 @@ class Panel:
         """The sorted distinct times: as many as the panel has steps, so the driver can hold them."""
         return sorted(r[0] for r in self.df.select(self.time).distinct().collect())
 
+    def units(self) -> DataFrame:
+        """The distinct units."""
+        return self.df.select(self.unit).distinct()
+
     def assert_balanced(self) -> None:
         """Raise unless each unit has a row at each time."""
         n, t, u = self.df.agg(F.count("*"), F.count_distinct(self.time), F.count_distinct(self.unit)).first()
@@ -60,7 +64,7 @@ class Panel:
         """Every unit at every time, missing rows with NULL features; the times go as one array per unit."""
         times = F.array_sort(F.collect_set(self.time))
         steps = self.df.agg(times.alias("_times"))
-        units = self.df.select(self.unit).distinct().crossJoin(F.broadcast(steps))  # one row, of the panel's steps
+        units = self.units().crossJoin(F.broadcast(steps))  # one row, of the panel's steps
         grid = units.select(self.unit, F.explode("_times").alias(self.time))
         return self.with_df(grid.join(self.df, [self.time, self.unit], "left"))
 

@@ -269,6 +269,11 @@ def test_country_lag_missing_neighbour(spark):
     assert far[1, 4] == 3.0 and far[1, 2] == 0.0  # two hops away: 1 (distance 3), and 3 (infinite)
 
 
+def test_country_distances(spark):
+    out = network.country_distances(spark.createDataFrame([(1, 0.0, 0.0), (2, 3.0, 4.0)], "id int, lat double, lon double")).collect()
+    assert {(r.a_id, r.b_id): r.dist for r in out} == {(1, 1): 0, (1, 2): 5, (2, 1): 5, (2, 2): 0}
+
+
 def test_one_shuffle_for_a_chain(spark):
     p = panel_of(spark, [(t, u, 1.0) for t in range(5) for u in range(5)])
     out = apply_transforms(p, [{"type": "tlag", "args": [1]}, {"type": "moving_average", "args": [3]}, {"type": "demean"}]).df
