@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 DEFAULT_DIR = "/tmp/checkpoints"
 #: Rows that broadcast_if_small() sends to every executor at most, for rows of about 100 bytes.
 BROADCAST_ROWS = 500_000
+BATCH_ROWS = 500
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -58,5 +59,15 @@ def held_out(doc_id: str | Column) -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string") if isinstance(doc_id, str) else doc_id.cast("string")) % 4 == 2, F.lit(False))
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Send texts to Python at most BATCH_ROWS rows at a time, for all plans of the session.
+
+    The default of 10,000 rows takes many times that memory, in the JVM and in Python, where texts are long.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key, "10000")) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -27,6 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import bounded_batches
 from .text import normalised_slices, window_docs, window_hash
 
 N, WINDOW, MIN_SCORE, MIN_WORDS, BLOCK_BYTES = 3, 5, 0.5, 5, 4 << 20
@@ -194,6 +195,7 @@ def _blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[list[tuple[int |
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, min_score: float = MIN_SCORE, min_words: int = MIN_WORDS, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, item_id, score, first_word, last_word of each passage of `docs` that aligns with an item."""
+    bounded_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     parts = []
     for block in _blocks(benchmark, block_bytes):
@@ -205,6 +207,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, min_score: float = MIN_S
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, min_score: float = MIN_SCORE, min_words: int = MIN_WORDS, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The rows of `docs`, all columns, without a passage of the benchmark: decided row by row, no shuffle."""
+    bounded_batches(docs.sparkSession)
     counted = docs.select(F.col("text").cast("string"))
     for block in _blocks(benchmark, block_bytes):
         items = Items.of(block, min_words)

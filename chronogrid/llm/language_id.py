@@ -21,7 +21,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, held_out, materialize
+from .common import bounded_batches, broadcast_if_small, held_out, materialize
 
 UNKNOWN = "und"
 SAMPLE_ROWS, TEXT_BYTES, DICTIONARY_BYTES, BLOCK_BYTES, LEVEL = 256, 2048, 256 << 10, 4096, 6
@@ -100,6 +100,7 @@ def _judge(dictionaries: dict[str, bytes], min_margin: float, block_bytes: int,
 
 def identify(docs: DataFrame, dictionaries: dict[str, bytes], min_margin: float = MIN_MARGIN, block_bytes: int = BLOCK_BYTES, level: int = LEVEL) -> DataFrame:
     """doc_id, lang_pred, score (the margin) and rejected for every row; no shuffle."""
+    bounded_batches(docs.sparkSession)
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         judge = _judge(dictionaries, min_margin, block_bytes, level)
@@ -112,6 +113,7 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], min_margin: float
 
 def drop_rejected(docs: DataFrame, min_margin: float = MIN_MARGIN, block_bytes: int = BLOCK_BYTES, level: int = LEVEL) -> DataFrame:
     """The rows of `docs`, all columns, that are not rejected: decided row by row in one pass, no shuffle."""
+    bounded_batches(docs.sparkSession)
     dictionaries = learn(docs.select("doc_id", "text", "lang").where(~held_out("doc_id")))
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

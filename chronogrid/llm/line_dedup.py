@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, materialize
+from .common import bounded_batches, broadcast_if_small, materialize
 
 MIN_SITES, BAND, LG_K = 12, 0.15, 10
 _HASHES = ["h1", "h2"]
@@ -55,6 +55,7 @@ def _without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def line_dedup(docs: DataFrame, min_sites: int = MIN_SITES, band: float = BAND) -> DataFrame:
     """The rows of `docs` with text cleaned, n_lines and n_removed added (and replacing columns so named)."""
+    bounded_batches(docs.sparkSession)
     docs = docs.drop("n_lines", "n_removed")
     lines = exploded(docs)
     found = broadcast_if_small(boilerplate(lines, min_sites, band))

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import bounded_batches, materialize
 from .text import mix, slices
 
 WEIGHTS, SHARE, CAP = (3, 1, 2), Fraction(3, 2), 2
@@ -76,6 +76,7 @@ class Mixture:
 
     def __init__(self, docs: DataFrame, weights: Sequence[int] = WEIGHTS, share: Fraction = SHARE, cap: int = CAP, block_words: int = BLOCK_WORDS, shards: int = SHARDS, seed: int = SEED) -> None:
         self.spark, self.block_words, self.seed = docs.sparkSession, block_words, seed
+        bounded_batches(self.spark)
         docs = docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), F.col("text").cast("string"))
         sized = docs.mapInArrow(_sizes, "doc_id long, source string, size long")
         sized = materialize(sized.withColumns({"row": F.monotonically_increasing_id(), "bucket": F.pmod(F.xxhash64("doc_id"), F.lit(BUCKETS)).cast("int")}), "sizes")

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, materialize
+from .common import bounded_batches, broadcast_if_small, materialize
 from .graph import connected_components
 from .text import Slice, mix, occurrence_labels, slices, window_docs, window_hash
 
@@ -161,6 +161,7 @@ def candidates(reps: DataFrame, similarity: float = SIMILARITY, small: int = SMA
 
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, small: int = SMALL) -> DataFrame:
     """doc_id, class_id (the smallest doc_id of its class) and n_links (verified links of its text) per row."""
+    bounded_batches(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     signed = materialize(texts.mapInArrow(_signatures, "doc_id long, k1 long, k2 long, n_words long, keys array<long>"), "signatures")
     usable = signed.where("n_words > 0 and doc_id is not null")

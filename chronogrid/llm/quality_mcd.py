@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import bounded_batches, materialize
 from .text import _BASE, _BYTE, _INVERSE, Slice, mix, occurrence_labels, powers, slices, window_docs, window_hash
 
 SYMBOLS = b"#*$%&|<>"
@@ -113,6 +113,7 @@ def _statistics(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def base_statistics(docs: DataFrame) -> DataFrame:
     """doc_id, lang, source and the base statistics of every whole text."""
+    bounded_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long"), F.col("lang").cast("string"), F.col("source").cast("string"), F.col("text").cast("string"))
     return docs.mapInArrow(_statistics, "doc_id long, lang string, source string, " + ", ".join(f"{x} long" for x in STATS))
 

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import bounded_batches, materialize
 from .text import SLICE_BYTES, Slice, mix, slices, window_docs, window_hash
 
 WINDOW, GRAM, BROADCAST_ENTRIES = 35, 8, 4_000_000
@@ -194,6 +194,7 @@ def locate(s: Slice, found: list[tuple[int, int, int]], words: np.ndarray) -> np
 
 def remove_repeats(docs: DataFrame, broadcast_entries: int = BROADCAST_ENTRIES) -> DataFrame:
     """doc_id, n_words, n_removed and kept (the words left, joined by one space) of every row."""
+    bounded_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     search = Repeats(docs, broadcast_entries)
     anchors, windows = search.confirmed()

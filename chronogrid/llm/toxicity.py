@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, held_out, materialize
+from .common import bounded_batches, broadcast_if_small, held_out, materialize
 from .text import Slice, mix, normalised_slices
 
 WORD_BITS, PREFIX, DISCOUNT, CALIBRATION_ROWS, THRESHOLD = 18, 5, 2.0, 20_000, 0.3
@@ -185,6 +185,7 @@ def score_texts(docs: DataFrame, model: Model, weights: np.ndarray | None) -> Da
 
 def toxicity(docs: DataFrame, labels: DataFrame, discount: float = DISCOUNT, calibration_rows: int = CALIBRATION_ROWS, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, held_out, score and predicted for every row; labels of held-out rows are never read."""
+    bounded_batches(docs.sparkSession)
     marked = broadcast_if_small(materialize(labels.where("toxic is not null and doc_id is not null").where(~held_out("doc_id")).groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic")), "labels"))
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     model = learn(texts.join(marked, "doc_id", "left"), discount)

@@ -29,7 +29,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, materialize, new_path
+from .common import bounded_batches, broadcast_if_small, materialize, new_path
 
 VERSION = "WARC/1.1"
 REVISIT_BYTES, SEGMENT_BYTES, CHUNK_BYTES, RECORDS_PER_FILE = 1000, 16 << 10, 4 << 10, 2000
@@ -129,6 +129,7 @@ def write_warc(
     records_per_file: int = RECORDS_PER_FILE,
 ) -> None:
     """Write `pages` (page_id, url, html) to WARC files under `path`."""
+    bounded_batches(pages.sparkSession)
     pages = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string"))
     html = F.coalesce("html", F.lit(""))
     digests = pages.select("page_id", F.sha1(F.encode(html, "utf-8")).alias("digest"), F.octet_length(html).alias("n"))
