@@ -8,7 +8,8 @@ increasing run of matched places.  Similarity is common / (a + b - common), and
 
 Equal texts collapse into one representative before anything is compared.  Buckets of up to SMALL
 representatives give all their pairs.  Members of larger ones meet again under pairs of their large buckets'
-keys, which only similar texts share, and each is paired with the first and the last of such a bucket: a
+keys, taken within four groups of GROUP sketches (two texts at 0.8 share such a pair with probability 0.9999),
+which only similar texts share, and each is paired with the first and the last of such a bucket: a
 group of n similar texts gives a number of pairs linear in n, nobody is dropped, and links join the group
 through many different leaders.  Classes are connected components by label propagation in DataFrames.
 
@@ -31,7 +32,7 @@ from .common import bounded_batches, broadcast_if_small, materialize
 from .graph import connected_components
 from .text import Slice, mix, occurrence_labels, slices, window_docs, window_hash
 
-SHINGLE, SIMILARITY, SKETCHES, ELL, SMALL = 5, 0.8, 24, 3, 8
+SHINGLE, SIMILARITY, SKETCHES, ELL, SMALL, GROUP = 5, 0.8, 24, 3, 8, 6
 _SEEDS = mix(np.arange(1, SKETCHES + 1, dtype=np.uint64) * np.uint64(0xA24BAED4963EE407))
 
 
@@ -142,17 +143,17 @@ def _verify(similarity: float):
 
 def candidates(reps: DataFrame, similarity: float = SIMILARITY, small: int = SMALL) -> DataFrame:
     """Distinct pairs a < b of representatives to verify; reps has rep, n (shingles) and keys."""
-    spread = reps.select("rep", "n", F.posexplode("keys").alias("k", "key")).select("rep", "n", F.xxhash64("k", "key").alias("bucket"))
+    spread = reps.select("rep", "n", F.posexplode("keys").alias("k", "key")).select("rep", "n", F.floor(F.col("k") / GROUP).cast("int").alias("g"), F.xxhash64("k", "key").alias("bucket"))
     sizes = spread.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
     members = materialize(spread.join(sizes, "bucket"), "members")
     fits = lambda x, y: F.least(x, y) >= similarity * F.greatest(x, y)
     lists = members.where(F.col("size") <= small).groupBy("bucket").agg(F.sort_array(F.collect_list(F.struct("rep", "n"))).alias("m"))
     one = lists.select("m", F.posexplode("m").alias("i", "x"))
     close = one.select("x", F.explode(F.expr("slice(m, i + 2, size(m))")).alias("y")).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"), F.col("x.n").alias("na"), F.col("y.n").alias("nb"))
-    large = members.where(F.col("size") > small).groupBy("rep", "n").agg(F.sort_array(F.collect_set("bucket")).alias("m"))
+    large = members.where(F.col("size") > small).groupBy("rep", "n").agg(F.sort_array(F.collect_set(F.struct("g", "bucket"))).alias("m"))
     first = large.select("rep", "n", "m", F.posexplode("m").alias("i", "x"))
     # a document in one large bucket only still meets that bucket's first and last
-    second = first.select("rep", "n", F.explode(F.expr("transform(slice(m, i + 2, size(m)), y -> xxhash64(x, y))")).alias("bucket")).union(first.select("rep", "n", F.col("x").alias("bucket")))
+    second = first.select("rep", "n", F.explode(F.expr("transform(filter(slice(m, i + 2, size(m)), y -> y.g = x.g), y -> xxhash64(x.bucket, y.bucket))")).alias("bucket")).union(first.select("rep", "n", F.col("x.bucket").alias("bucket")))
     ends = second.groupBy("bucket").agg(F.min(F.struct("rep", "n")).alias("lo"), F.max(F.struct("rep", "n")).alias("hi"), F.count("*").alias("c")).where("c > 1").drop("c")
     led = second.join(ends, "bucket").select("rep", "n", F.explode(F.array("lo", "hi")).alias("e")).where("e.rep <> rep")
     wide = led.select(F.least("rep", "e.rep").alias("a"), F.greatest("rep", "e.rep").alias("b"), F.col("n").alias("na"), F.col("e.n").alias("nb"))
