@@ -10,8 +10,12 @@ Equal texts collapse into one representative before anything is compared.  Bucke
 representatives give all their pairs.  Members of larger ones meet again under pairs of their large buckets'
 keys, taken within four groups of GROUP sketches (two texts at 0.8 share such a pair with probability 0.9999),
 which only similar texts share, and each is paired with the first and the last of such a bucket: a
-group of n similar texts gives a number of pairs linear in n, nobody is dropped, and links join the group
-through many different leaders.  Classes are connected components by label propagation in DataFrames.
+group of n similar texts gives a number of pairs linear in n, and links join the group through many different
+leaders.  Large buckets whose members are not yet all in one class then go on: their best linked member is
+compared with all members outside its class, and what still is in several classes gets every pair that a
+prefix filter leaves.  That filter is exact: in any one order of shingles, texts at 0.8 share one of the first
+n - ceil(0.8 n) + 1.  The order is rarest first, so a passage that many share makes no pairs.  Classes are
+connected components by label propagation in DataFrames.
 
 Defined results: texts without a word, null texts and rows without a doc_id are alone (class_id is their own
 doc_id); texts of fewer than five words link only to equal texts; a repeated doc_id is one document, linked
@@ -33,6 +37,7 @@ from .graph import connected_components
 from .text import Slice, mix, occurrence_labels, slices, window_docs, window_hash
 
 SHINGLE, SIMILARITY, SKETCHES, ELL, SMALL, GROUP = 5, 0.8, 24, 3, 8, 6
+ORDER_BITS = 18
 _SEEDS = mix(np.arange(1, SKETCHES + 1, dtype=np.uint64) * np.uint64(0xA24BAED4963EE407))
 
 
@@ -141,12 +146,19 @@ def _verify(similarity: float):
     return run
 
 
-def candidates(reps: DataFrame, similarity: float = SIMILARITY, small: int = SMALL) -> DataFrame:
-    """Distinct pairs a < b of representatives to verify; reps has rep, n (shingles) and keys."""
+def buckets(reps: DataFrame) -> DataFrame:
+    """rep, n (shingles), g (group of sketches) and size of each bucket of two or more; reps has rep, n and keys."""
     spread = reps.select("rep", "n", F.posexplode("keys").alias("k", "key")).select("rep", "n", F.floor(F.col("k") / GROUP).cast("int").alias("g"), F.xxhash64("k", "key").alias("bucket"))
     sizes = spread.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
-    members = materialize(spread.join(sizes, "bucket"), "members")
-    fits = lambda x, y: F.least(x, y) >= similarity * F.greatest(x, y)
+    return materialize(spread.join(sizes, "bucket"), "members")
+
+
+def _fits(x, y, similarity: float):
+    return F.least(x, y) >= similarity * F.greatest(x, y)
+
+
+def candidates(members: DataFrame, similarity: float = SIMILARITY, small: int = SMALL) -> DataFrame:
+    """Distinct pairs a < b of representatives to verify first; members as buckets() returns them."""
     lists = members.where(F.col("size") <= small).groupBy("bucket").agg(F.sort_array(F.collect_list(F.struct("rep", "n"))).alias("m"))
     one = lists.select("m", F.posexplode("m").alias("i", "x"))
     close = one.select("x", F.explode(F.expr("slice(m, i + 2, size(m))")).alias("y")).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"), F.col("x.n").alias("na"), F.col("y.n").alias("nb"))
@@ -157,7 +169,84 @@ def candidates(reps: DataFrame, similarity: float = SIMILARITY, small: int = SMA
     ends = second.groupBy("bucket").agg(F.min(F.struct("rep", "n")).alias("lo"), F.max(F.struct("rep", "n")).alias("hi"), F.count("*").alias("c")).where("c > 1").drop("c")
     led = second.join(ends, "bucket").select("rep", "n", F.explode(F.array("lo", "hi")).alias("e")).where("e.rep <> rep")
     wide = led.select(F.least("rep", "e.rep").alias("a"), F.greatest("rep", "e.rep").alias("b"), F.col("n").alias("na"), F.col("e.n").alias("nb"))
-    return close.where("a <> b").union(wide).where(fits(F.col("na"), F.col("nb"))).select("a", "b").distinct()
+    return close.where("a <> b").union(wide).where(_fits(F.col("na"), F.col("nb"), similarity)).select("a", "b").distinct()
+
+
+def _unsettled(large: DataFrame, links: DataFrame) -> DataFrame | None:
+    """Members of the buckets that hold more than one class, with their classes; None where there is none."""
+    classes = connected_components(links.select("a", "b")).withColumnRenamed("node", "rep")
+    named = large.join(classes, "rep", "left").select("bucket", "rep", "n", F.coalesce("component", "rep").alias("component"))
+    several = named.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("bucket")
+    out = materialize(named.join(several, "bucket"), "unsettled")
+    return out if out.limit(1).count() else None
+
+
+def _leader_pairs(unsettled: DataFrame, links: DataFrame, similarity: float) -> DataFrame:
+    """Each bucket's member with the most links, and the members outside its class."""
+    degree = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("links"))
+    ranked = unsettled.join(degree, "rep", "left")
+    best = ranked.groupBy("bucket").agg(F.max(F.struct(F.coalesce("links", F.lit(0)).alias("links"), "rep", "n", "component")).alias("e"))
+    met = unsettled.join(best, "bucket").where("component <> e.component")
+    return met.where(_fits(F.col("n"), F.col("e.n"), similarity)).select(F.least("rep", "e.rep").alias("a"), F.greatest("rep", "e.rep").alias("b")).distinct()
+
+
+def _slots(h: np.ndarray) -> np.ndarray:
+    return (h >> np.uint32(32 - ORDER_BITS)).astype(np.int64)
+
+
+def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total = np.zeros(1 << ORDER_BITS, np.int64)
+    for batch in batches:
+        for x in batch.column("seq"):
+            total += np.bincount(_slots(np.frombuffer(x.as_buffer(), "<u4")), minlength=len(total))
+    used = np.flatnonzero(total > 1)  # any table gives an order that all tasks share
+    yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(total[used])], names=["slot", "times"])
+
+
+def prefix(h: np.ndarray, times: np.ndarray, similarity: float = SIMILARITY) -> np.ndarray:
+    """The first shingles of a text in the order of (times of the slot, hash), one of which every similar text shares."""
+    own = np.unique(h)
+    own = own[np.lexsort((own, times[_slots(own)]))]
+    return own[: max(0, len(own) - int(np.ceil(similarity * len(h) - 1e-9)) + 1)]
+
+
+def remaining_pairs(unsettled: DataFrame, sequences: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """Distinct pairs a < b across classes, with no similar pair left out."""
+    docs = broadcast_if_small(materialize(unsettled.select("rep", "component").distinct(), "unsettled-ids"))
+    own = materialize(sequences.join(docs, "rep"), "unsettled-sequences")
+    found = own.select("seq").mapInArrow(_frequencies, "slot int, times long").groupBy("slot").agg(F.sum("times").alias("times")).toArrow().to_pandas()
+    times = np.zeros(1 << ORDER_BITS, np.int64)
+    times[found.slot] = found.times
+    sent = own.sparkSession.sparkContext.broadcast(times)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [np.frombuffer(x.as_buffer(), "<u4") for x in batch.column("seq")]
+            parts = [prefix(h, sent.value, similarity) for h in texts]
+            sizes = [len(x) for x in parts]
+            row = np.repeat(np.arange(len(texts)), sizes)
+            taken = batch.select(["rep", "component"]).take(pa.array(row))
+            n = pa.array(np.array([len(h) for h in texts], np.int64)[row])
+            place = pa.array(np.concatenate([np.arange(k) for k in sizes] or [np.empty(0)]).astype(np.int64))
+            token = pa.array(np.concatenate([*parts, np.empty(0, "<u4")]).astype(np.int64))
+            yield pa.RecordBatch.from_arrays([*taken.columns, n, place, token], names=["rep", "component", "n", "place", "token"])
+
+    tokens = materialize(own.mapInArrow(run, "rep long, component long, n long, place long, token long"), "prefixes")
+    # classes of a shingle: only members outside its largest one look for partners
+    shared = tokens.groupBy("token", "component").agg(F.count("*").alias("c")).groupBy("token").agg(F.max(F.struct("c", "component")).alias("top"), F.count("*").alias("classes")).where("classes > 1")
+    members = materialize(tokens.join(shared.select("token", F.col("top.component").alias("main")), "token"), "shared-prefixes")
+    x, y = members.where("component <> main").alias("x"), members.alias("y")
+    c = F.col
+    # the first shared shingle leaves enough shingles behind it in both
+    enough = F.least(c("x.n") - c("x.place"), c("y.n") - c("y.place")) >= similarity / (1 + similarity) * (c("x.n") + c("y.n")) - 1e-9
+    once = F.expr("x.component <> y.component and (y.component = y.main or x.rep < y.rep)")
+    met = x.join(y, (c("x.token") == c("y.token")) & once & enough & _fits(c("x.n"), c("y.n"), similarity))
+    return met.select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct()
+
+
+def _links(pairs: DataFrame, sequences: DataFrame, similarity: float) -> DataFrame:
+    sides = pairs.join(sequences.select(F.col("rep").alias("a"), F.col("seq").alias("seq_a")), "a").join(sequences.select(F.col("rep").alias("b"), F.col("seq").alias("seq_b")), "b")
+    return materialize(sides.select("a", "b", "seq_a", "seq_b").mapInArrow(_verify(similarity), "a long, b long, similarity double"), "links")
 
 
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, small: int = SMALL) -> DataFrame:
@@ -168,12 +257,19 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, small: int
     usable = signed.where("n_words > 0 and doc_id is not null")
     reps = materialize(usable.groupBy("k1", "k2", "n_words").agg(F.min("doc_id").alias("rep"), F.any_value("keys").alias("keys")), "representatives")
     compared = reps.where(F.col("n_words") >= SHINGLE).select("rep", (F.col("n_words") - SHINGLE + 1).alias("n"), "keys")
-    pairs = materialize(candidates(compared, similarity, small), "pairs")
-    ids = broadcast_if_small(materialize(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "ids"))
+    members = buckets(compared)
+    large = members.where(F.col("size") > small).select("bucket", "rep", "n")
+    pairs = materialize(candidates(members, similarity, small), "pairs")
+    ids = broadcast_if_small(materialize(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).union(large.select("rep")).distinct(), "ids"))
     # a representative's own rows: a copy's row with another text would only add a comparison
     sequences = materialize(texts.where("text is not null").join(ids, "doc_id").mapInArrow(_sequences, "rep long, seq binary").where("length(seq) > 0"), "sequences")
-    sides = pairs.join(sequences.select(F.col("rep").alias("a"), F.col("seq").alias("seq_a")), "a").join(sequences.select(F.col("rep").alias("b"), F.col("seq").alias("seq_b")), "b")
-    links = materialize(sides.select("a", "b", "seq_a", "seq_b").mapInArrow(_verify(similarity), "a long, b long, similarity double"), "links")
+    links = _links(pairs, sequences, similarity)
+    unsettled = _unsettled(large, links)
+    if unsettled is not None:
+        links = links.union(_links(materialize(_leader_pairs(unsettled, links, similarity).join(pairs, ["a", "b"], "left_anti"), "leader-pairs"), sequences, similarity))
+        unsettled = _unsettled(large, links)
+    if unsettled is not None:
+        links = links.union(_links(materialize(remaining_pairs(unsettled, sequences, similarity).join(pairs, ["a", "b"], "left_anti"), "remaining-pairs"), sequences, similarity)).dropDuplicates(["a", "b"])
     # copies of a text that share no representative because of repeated ids are joined here too
     classes = connected_components(links.select("a", "b"))
     degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))

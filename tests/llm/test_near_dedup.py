@@ -94,6 +94,51 @@ def test_a_chain_of_edits_is_one_class(spark):
     assert {r.doc_id: r.class_id for r in N.near_duplicates(corpus.frame(spark, docs)).collect()} == want
 
 
+def star(n, hub):
+    """Copies of one text with 4 of 200 words replaced: similar to it and not to each other; `hub` is its id."""
+    rng = random.Random(12)
+    w = [f"w{rng.randrange(10**6)}" for _ in range(200)]
+    docs = []
+    for i in range(n):
+        own = list(w)
+        for at in [] if i == hub else [20 + 45 * k + rng.randrange(30) for k in range(4)]:
+            own[at] = f"e{rng.randrange(10**9)}"
+        docs.append((i, " ".join(own), "", "", 0, 0, "", ""))
+    return docs
+
+
+def test_a_star_with_its_hub_in_the_middle_is_one_class(spark):
+    for n in (60, 150):
+        docs = star(n, n // 2)
+        assert all(similarity(docs[n // 2][1], d[1]) >= 0.8 for d in docs[:5]) and similarity(docs[0][1], docs[1][1]) < 0.8
+        got = {r.doc_id: r.class_id for r in N.near_duplicates(corpus.frame(spark, docs)).collect()}
+        assert set(got.values()) == {0}
+
+
+def test_no_similar_pair_remains(spark):
+    """Pairs of an own text inside a family that shares most sketches: no leader is similar to both."""
+    rng = random.Random(4)
+    shared = [f"s{rng.randrange(10**6)}" for _ in range(70)]
+    docs = []
+    for i in range(80):
+        own = shared + [f"u{i // 2}x{j}" for j in range(30)]
+        own[rng.randrange(70)] = f"e{i}"
+        docs.append((i // 2 + 40 * (i % 2), " ".join(own), "", "", 0, 0, "", ""))
+    want = brute(docs)
+    assert len(set(want.values())) > 5
+    assert {r.doc_id: r.class_id for r in N.near_duplicates(corpus.frame(spark, docs)).collect()} == want
+
+
+def test_prefixes_of_similar_texts_meet():
+    rng = np.random.default_rng(6)
+    for _ in range(200):
+        a = rng.integers(0, 1 << 32, rng.integers(1, 60), dtype=np.uint64).astype("<u4")
+        b = a[rng.random(len(a)) < 0.9]
+        times = rng.integers(0, 3, 1 << N.ORDER_BITS)
+        if len(b) and N.aligned_similarity(a, b):
+            assert np.intersect1d(N.prefix(a, times), N.prefix(b, times)).size
+
+
 def test_shared_passage_does_not_link(spark):
     rng = random.Random(3)
     shared = corpus.prose(rng, corpus.EN, 40)
