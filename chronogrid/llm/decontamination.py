@@ -55,12 +55,13 @@ class Items:
         return np.unique(np.concatenate([window_hash(w, N) for w in self.words])) if self.words else np.empty(0, np.uint64)
 
     def seeds(self, count: dict[int, int], window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Sorted seed hashes with their items and positions: the rarest n-gram of each run of `window`."""
+        """Sorted seed hashes with their items and positions: every n-gram that the corpus holds, and the rarest of each run of `window`."""
         found = []
         for k, w in enumerate(self.words):
             h = window_hash(w, N)
             times = np.array([count.get(int(x), 0) for x in h])
             picked = {min(range(i, min(i + window, len(h))), key=lambda j: (times[j], j)) for i in range(max(1, len(h) - window + 1))}
+            picked.update(np.flatnonzero(times > 0).tolist())  # a count of 0 never hits, so it must not displace these
             found += [(int(h[j]), k, j) for j in sorted(picked)]
         found.sort()
         return np.array([x[0] for x in found], np.uint64), np.array([x[1] for x in found], np.int64), np.array([x[2] for x in found], np.int64)

@@ -94,3 +94,15 @@ def test_seeds_cover_every_stretch():
 @pytest.mark.parametrize("text", [None, "", "a", "a b"])
 def test_short_items(text):
     assert D.Items.of([(1, text or "")], 1).words == []
+
+
+def test_intact_grams_beside_broken_ones_are_seeds(spark):
+    """The corpus holds only an edited copy: n-grams broken by its edits have count 0 and must not displace intact ones."""
+    item = [f"w{i}" for i in range(20)]
+    copy = list(item)
+    for at in (3, 7, 11, 15):
+        copy[at] = f"e{at}"
+    docs = [(1, " ".join(["before"] * 9 + copy + ["after"] * 9), "en", "a", 0, 0, "", "")]
+    out = D.contaminated(corpus.frame(spark, docs), bench(spark, [(1, " ".join(item))])).collect()
+    assert [(r.doc_id, r.item_id, r.score) for r in out] == [(1, 1, 0.6)]
+    assert D.decontaminate(corpus.frame(spark, docs), bench(spark, [(1, " ".join(item))])).count() == 0
