@@ -44,9 +44,9 @@ def learn(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, text_bytes: int = TEX
     The driver gets at most `max_languages` * `sample_rows` texts of `text_bytes` characters.
     """
     rows = docs.where("lang is not null and text is not null and doc_id is not null")
-    hashed = rows.groupBy("lang", F.xxhash64("text").alias("h")).agg(F.min("doc_id").alias("doc_id"))
+    hashed = materialize(rows.groupBy("lang", F.xxhash64("text").alias("h")).agg(F.min("doc_id").alias("doc_id")), "hashes")
     # a language's share of the hashes is cut to about eight times the sample before any one task ranks it
-    sizes = materialize(rows.groupBy("lang").agg(F.count("*").alias("n")), "languages")
+    sizes = materialize(hashed.groupBy("lang").agg(F.count("*").alias("n")), "languages")
     low = F.shiftrightunsigned("h", 1) <= F.lit(2.0**63) * 8 * sample_rows / F.col("n")
     hashed = hashed.join(broadcast_if_small(sizes, max_languages), "lang").where(low)
     first = materialize(hashed.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("rank") <= sample_rows), "sample")

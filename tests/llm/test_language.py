@@ -41,3 +41,10 @@ def test_nothing_learned(spark):
     out = L.language_id(corpus.frame(spark, [(1, "text", None, None, 0, 0, "", "")])).collect()
     assert [(r.lang_pred, r.score, r.rejected) for r in out] == [("und", 0.0, True)]
     assert L.language_id(corpus.frame(spark, [])).count() == 0
+
+
+def test_copies_do_not_empty_the_sample(spark):
+    """Few distinct texts among very many copies: the share kept before ranking is of distinct texts."""
+    rows = spark.range(30000).selectExpr("id as doc_id", "concat('three texts in many copies ', id % 3) as text", "'en' as lang")
+    learned = L.learn(rows, sample_rows=4)
+    assert learned["en"].count(b"three texts") == 3
