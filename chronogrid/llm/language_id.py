@@ -1,7 +1,8 @@
 """Language identification by compression with per-language zstandard raw-content dictionaries.
 
 Each language's dictionary is raw text of a bounded sample of labelled rows: the `sample_rows` texts with the
-smallest hashes (copies once), up to `text_bytes` of each, `dictionary_bytes` in all.  Every whole text is
+smallest hashes (copies once), up to `text_bytes` of each in PIECES spread over the whole text,
+`dictionary_bytes` in all.  Every whole text is
 lower-cased, stripped of ASCII symbols and digits, cut into blocks of `block_bytes` so that the dictionary
 counts throughout a long text, and compressed with each dictionary; the smallest total wins.  The margin is
 the share by which the second-best total exceeds the best; a text below `min_margin` is rejected.
@@ -18,14 +19,14 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import bounded_batches, broadcast_if_small, held_out, materialize
 
 UNKNOWN = "und"
 SAMPLE_ROWS, TEXT_BYTES, DICTIONARY_BYTES, BLOCK_BYTES, LEVEL = 256, 2048, 256 << 10, 4096, 6
-MIN_MARGIN, MAX_LANGUAGES = 0.005, 256
+MIN_MARGIN, MAX_LANGUAGES, PIECES = 0.005, 256, 8
 _DROP = bytes(x for x in range(33, 127) if not chr(x).isalpha())
 _ASCII_LETTER = re.compile(rb"[A-Za-z]")
 
@@ -38,6 +39,14 @@ def has_letter(text: bytes) -> bool:
     return bool(_ASCII_LETTER.search(text)) or any(c.isalpha() for c in text.decode("utf-8", "replace"))
 
 
+def _pieces(text_bytes: int) -> Column:
+    """A text of up to `text_bytes` characters whole; of a longer one PIECES from its start to its end."""
+    size = max(1, text_bytes // PIECES)
+    at = lambda k: (F.floor((F.length("text") - size) * k / (PIECES - 1)) + 1).cast("int")
+    parts = F.array(*(F.substring("text", at(k), F.lit(size)) for k in range(PIECES)))
+    return F.when(F.length("text") <= text_bytes, F.array("text")).otherwise(parts)
+
+
 def learn(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, text_bytes: int = TEXT_BYTES, dictionary_bytes: int = DICTIONARY_BYTES, max_languages: int = MAX_LANGUAGES) -> dict[str, bytes]:
     """A dictionary for each language of the rows given (doc_id, text, lang).
 
@@ -53,10 +62,11 @@ def learn(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, text_bytes: int = TEX
     languages = first.select("lang").distinct().limit(max_languages + 1).count()
     if languages > max_languages:
         raise ValueError(f"more than {max_languages} languages")
-    picked = rows.select("doc_id", "lang", F.xxhash64("text").alias("h"), F.substring("text", 1, text_bytes).alias("text")).join(broadcast_if_small(first), ["doc_id", "lang", "h"])
+    picked = rows.select("doc_id", "lang", F.xxhash64("text").alias("h"), _pieces(text_bytes).alias("pieces")).join(broadcast_if_small(first), ["doc_id", "lang", "h"])
     texts: dict[str, list[tuple[int, bytes]]] = {}
-    for r in picked.dropDuplicates(["lang", "h"]).select("lang", "h", "text").toLocalIterator():
-        texts.setdefault(r.lang, []).append((r.h, clean(r.text.encode())[:text_bytes]))
+    for r in picked.dropDuplicates(["lang", "h"]).select("lang", "h", "pieces").toLocalIterator():
+        own = [clean(x.encode())[: text_bytes // len(r.pieces)] for x in r.pieces]
+        texts.setdefault(r.lang, []).append((r.h, b"\n".join(own)))
     return {lang: b"\n".join(x for _, x in sorted(own))[:dictionary_bytes] for lang, own in sorted(texts.items())}
 
 

@@ -48,3 +48,11 @@ def test_copies_do_not_empty_the_sample(spark):
     rows = spark.range(30000).selectExpr("id as doc_id", "concat('three texts in many copies ', id % 3) as text", "'en' as lang")
     learned = L.learn(rows, sample_rows=4)
     assert learned["en"].count(b"three texts") == 3
+
+
+def test_dictionaries_hold_more_than_a_header(spark):
+    rows = [(i, "licence header line " * 150 + f"middle{chr(97 + i)} " * 300 + f"ending{chr(97 + i)} " * 200, "en") for i in range(4)]
+    learned = L.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    for i in range(4):
+        assert f"middle{chr(97 + i)}".encode() in learned["en"] and f"ending{chr(97 + i)}".encode() in learned["en"]
+    assert len(learned["en"]) <= 4 * (L.TEXT_BYTES + L.PIECES)
