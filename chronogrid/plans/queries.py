@@ -73,7 +73,7 @@ def _mice(spark: SparkSession, d: str) -> DataFrame:
     p = derived.gappy(spark, d)
     p = p.with_df(p.df.withColumn("t", F.col("time").cast("double")), ["v", "n", "t"])
     p = p.map(lambda c: c).with_df(p.df.withColumn("v", F.when(F.col("time") % 3 != 0, F.col("v"))), ["v", "n", "t"])
-    return _rounded(mice.impute(p, max_iter=3), 3)
+    return _rounded(mice.impute(p), 3)
 
 
 def _missing_names(spark: SparkSession, d: str) -> DataFrame:
