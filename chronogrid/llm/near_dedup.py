@@ -6,20 +6,27 @@ one key, so equal keys mean shared shingles in equal order.  Candidates are veri
 band of diagonals; as labelled shingles are unique in a text, the longest common subsequence is the longest
 increasing run of matched places.  Similarity is common / (a + b - common), and 0.8 or more links two texts.
 
-Equal texts collapse into one representative before anything is compared.  Buckets of up to SMALL
-representatives give all their pairs.  Members of larger ones meet again under pairs of their large buckets'
-keys, taken within four groups of GROUP sketches (two texts at 0.8 share such a pair with probability 0.9999),
-which only similar texts share, and each is paired with the first and the last of such a bucket: a
-group of n similar texts gives a number of pairs linear in n, and links join the group through many different
-leaders.  Large buckets whose members are not yet all in one class then go on: their best linked member is
-compared with all members outside its class, and what still is in several classes gets every pair that a
-prefix filter leaves.  That filter is exact: in any one order of shingles, texts at 0.8 share one of the first
-n - ceil(0.8 n) + 1.  The order is rarest first, so a passage that many share makes no pairs.  Classes are
-connected components by label propagation in DataFrames.
+Equal texts collapse into one representative before anything is compared.  The same steps hold for buckets
+of every size:
+
+1. Each member of a bucket is compared with the bucket's lead, the text that meets most others over all of
+   its buckets: the original of many edited copies, whatever its id.  That is linear in the members.
+2. Buckets that still hold several classes, and members not compared, get a second lead from outside the
+   first one's class.
+3. What still is in several classes gets every pair across classes that a prefix filter leaves.  It is exact:
+   in any one order of shingles, texts at 0.8 share one of the first n - ceil(0.8 n) + 1.  The order is rarest
+   first, so a passage that many share makes no pairs.  Only texts that look alike and that no lead links
+   cost pairs here.
+
+So two texts of a bucket are compared, in one class through others, or below the similarity by the filter:
+classes equal those of all pairs, but for pairs without one equal sketch (at 0.8 once in about 30 million).
+Classes are connected components by label propagation in DataFrames.
 
 Defined results: texts without a word, null texts and rows without a doc_id are alone (class_id is their own
-doc_id); texts of fewer than five words link only to equal texts; a repeated doc_id is one document, linked
-by all of its texts; extra columns are ignored; an empty table gives no rows.
+doc_id, class_size 1); texts of fewer than five words link only to equal texts; a repeated doc_id is one
+document, linked by all of its texts, and equal rows are in one class; ties for a lead go to the smallest id;
+a text of any length is one sequence in one task (4 bytes a word); extra columns are ignored; an empty table
+gives no rows.
 """
 
 from __future__ import annotations
@@ -29,14 +36,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import bounded_batches, broadcast_if_small, materialize
 from .graph import connected_components
 from .text import Slice, mix, occurrence_labels, slices, window_docs, window_hash
 
-SHINGLE, SIMILARITY, SKETCHES, ELL, SMALL, GROUP = 5, 0.8, 24, 3, 8, 6
+SHINGLE, SIMILARITY, SKETCHES, ELL = 5, 0.8, 24, 3
 ORDER_BITS = 18
 _SEEDS = mix(np.arange(1, SKETCHES + 1, dtype=np.uint64) * np.uint64(0xA24BAED4963EE407))
 
@@ -146,48 +153,53 @@ def _verify(similarity: float):
     return run
 
 
-def buckets(reps: DataFrame) -> DataFrame:
-    """rep, n (shingles), g (group of sketches) and size of each bucket of two or more; reps has rep, n and keys."""
-    spread = reps.select("rep", "n", F.posexplode("keys").alias("k", "key")).select("rep", "n", F.floor(F.col("k") / GROUP).cast("int").alias("g"), F.xxhash64("k", "key").alias("bucket"))
+def shared_buckets(reps: DataFrame) -> DataFrame:
+    """rep, n (shingles), weight, bucket and lead of each place in a bucket of two or more; reps has rep, n and keys.
+
+    A text's weight is the number of texts it meets over all of its buckets; a bucket is led by its heaviest
+    text (the smallest id of equals), the likeliest to be similar to the rest.
+    """
+    spread = reps.select("rep", "n", F.posexplode("keys").alias("k", "key")).select("rep", "n", F.xxhash64("k", "key").alias("bucket"))
     sizes = spread.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
-    return materialize(spread.join(sizes, "bucket"), "members")
+    # a text has SKETCHES keys, so this list is short
+    weighed = spread.join(sizes, "bucket").groupBy("rep", "n").agg(F.sum("size").alias("weight"), F.collect_set("bucket").alias("own"))
+    members = materialize(weighed, "weighed").select("rep", "n", "weight", F.explode("own").alias("bucket"))
+    leads = members.groupBy("bucket").agg(F.max(F.struct("weight", (-F.col("rep")).alias("rep"), "n")).alias("lead"))
+    return materialize(members.join(leads, "bucket").select("rep", "n", "weight", "bucket", (-F.col("lead.rep")).alias("lead"), F.col("lead.n").alias("lead_n")), "members")
 
 
 def _fits(x, y, similarity: float):
     return F.least(x, y) >= similarity * F.greatest(x, y)
 
 
-def candidates(members: DataFrame, similarity: float = SIMILARITY, small: int = SMALL) -> DataFrame:
-    """Distinct pairs a < b of representatives to verify first; members as buckets() returns them."""
-    lists = members.where(F.col("size") <= small).groupBy("bucket").agg(F.sort_array(F.collect_list(F.struct("rep", "n"))).alias("m"))
-    one = lists.select("m", F.posexplode("m").alias("i", "x"))
-    close = one.select("x", F.explode(F.expr("slice(m, i + 2, size(m))")).alias("y")).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"), F.col("x.n").alias("na"), F.col("y.n").alias("nb"))
-    large = members.where(F.col("size") > small).groupBy("rep", "n").agg(F.sort_array(F.collect_set(F.struct("g", "bucket"))).alias("m"))
-    first = large.select("rep", "n", "m", F.posexplode("m").alias("i", "x"))
-    # a document in one large bucket only still meets that bucket's first and last
-    second = first.select("rep", "n", F.explode(F.expr("transform(filter(slice(m, i + 2, size(m)), y -> y.g = x.g), y -> xxhash64(x.bucket, y.bucket))")).alias("bucket")).union(first.select("rep", "n", F.col("x.bucket").alias("bucket")))
-    ends = second.groupBy("bucket").agg(F.min(F.struct("rep", "n")).alias("lo"), F.max(F.struct("rep", "n")).alias("hi"), F.count("*").alias("c")).where("c > 1").drop("c")
-    led = second.join(ends, "bucket").select("rep", "n", F.explode(F.array("lo", "hi")).alias("e")).where("e.rep <> rep")
-    wide = led.select(F.least("rep", "e.rep").alias("a"), F.greatest("rep", "e.rep").alias("b"), F.col("n").alias("na"), F.col("e.n").alias("nb"))
-    return close.where("a <> b").union(wide).where(_fits(F.col("na"), F.col("nb"), similarity)).select("a", "b").distinct()
+def _pair(x: str, y: str) -> list[Column]:
+    return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
+
+
+def lead_pairs(members: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """Distinct pairs a < b of members and the leads of their buckets, linear in the number of members."""
+    return members.where((F.col("rep") != F.col("lead")) & _fits(F.col("n"), F.col("lead_n"), similarity)).select(*_pair("rep", "lead")).distinct()
+
 
+def _unsettled(members: DataFrame, links: DataFrame, compared: int) -> DataFrame | None:
+    """Members, with their classes, of the buckets that hold several classes and pairs not compared yet; None without any.
 
-def _unsettled(large: DataFrame, links: DataFrame) -> DataFrame | None:
-    """Members of the buckets that hold more than one class, with their classes; None where there is none."""
+    compared: how many members of a bucket have met all others outside their class.
+    """
     classes = connected_components(links.select("a", "b")).withColumnRenamed("node", "rep")
-    named = large.join(classes, "rep", "left").select("bucket", "rep", "n", F.coalesce("component", "rep").alias("component"))
-    several = named.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("bucket")
+    named = members.join(classes, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    several = named.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size")).where((F.col("lo") < F.col("hi")) & (F.col("size") > compared + 1)).select("bucket")
     out = materialize(named.join(several, "bucket"), "unsettled")
     return out if out.limit(1).count() else None
 
 
-def _leader_pairs(unsettled: DataFrame, links: DataFrame, similarity: float) -> DataFrame:
-    """Each bucket's member with the most links, and the members outside its class."""
-    degree = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("links"))
-    ranked = unsettled.join(degree, "rep", "left")
-    best = ranked.groupBy("bucket").agg(F.max(F.struct(F.coalesce("links", F.lit(0)).alias("links"), "rep", "n", "component")).alias("e"))
-    met = unsettled.join(best, "bucket").where("component <> e.component")
-    return met.where(_fits(F.col("n"), F.col("e.n"), similarity)).select(F.least("rep", "e.rep").alias("a"), F.greatest("rep", "e.rep").alias("b")).distinct()
+def _second_lead_pairs(unsettled: DataFrame, similarity: float) -> DataFrame:
+    """Each bucket's heaviest member outside the lead's class, with the members outside its own class."""
+    led = unsettled.where("rep = lead").select("bucket", F.col("component").alias("lead_component")).distinct()
+    others = unsettled.where("rep <> lead").join(led, "bucket")
+    best = others.where("component <> lead_component").groupBy("bucket").agg(F.max(F.struct("weight", (-F.col("rep")).alias("rep"), "n", "component")).alias("e"))
+    met = others.join(best, "bucket").where((F.col("component") != F.col("e.component")) & _fits(F.col("n"), F.col("e.n"), similarity))
+    return met.select("rep", (-F.col("e.rep")).alias("second")).select(*_pair("rep", "second")).distinct()
 
 
 def _slots(h: np.ndarray) -> np.ndarray:
@@ -249,35 +261,30 @@ def _links(pairs: DataFrame, sequences: DataFrame, similarity: float) -> DataFra
     return materialize(sides.select("a", "b", "seq_a", "seq_b").mapInArrow(_verify(similarity), "a long, b long, similarity double"), "links")
 
 
-def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, small: int = SMALL) -> DataFrame:
-    """doc_id, class_id (the smallest doc_id of its class) and n_links (verified links of its text) per row."""
+def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """doc_id, class_id (the smallest doc_id of its class) and class_size (rows of the class) per row."""
     bounded_batches(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     signed = materialize(texts.mapInArrow(_signatures, "doc_id long, k1 long, k2 long, n_words long, keys array<long>"), "signatures")
     usable = signed.where("n_words > 0 and doc_id is not null")
-    reps = materialize(usable.groupBy("k1", "k2", "n_words").agg(F.min("doc_id").alias("rep"), F.any_value("keys").alias("keys")), "representatives")
-    compared = reps.where(F.col("n_words") >= SHINGLE).select("rep", (F.col("n_words") - SHINGLE + 1).alias("n"), "keys")
-    members = buckets(compared)
-    large = members.where(F.col("size") > small).select("bucket", "rep", "n")
-    pairs = materialize(candidates(members, similarity, small), "pairs")
-    ids = broadcast_if_small(materialize(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).union(large.select("rep")).distinct(), "ids"))
-    # a representative's own rows: a copy's row with another text would only add a comparison
+    reps = materialize(usable.groupBy("k1", "k2", "n_words").agg(F.min("doc_id").alias("rep"), F.any_value("keys").alias("keys"), F.count("*").alias("copies")), "representatives")
+    members = shared_buckets(reps.where(F.col("n_words") >= SHINGLE).select("rep", (F.col("n_words") - SHINGLE + 1).alias("n"), "keys"))
+    ids = broadcast_if_small(materialize(members.select(F.col("rep").alias("doc_id")).distinct(), "ids"))
+    # all rows of an id: a copy's row with another text would only add a comparison
     sequences = materialize(texts.where("text is not null").join(ids, "doc_id").mapInArrow(_sequences, "rep long, seq binary").where("length(seq) > 0"), "sequences")
-    links = _links(pairs, sequences, similarity)
-    unsettled = _unsettled(large, links)
-    if unsettled is not None:
-        links = links.union(_links(materialize(_leader_pairs(unsettled, links, similarity).join(pairs, ["a", "b"], "left_anti"), "leader-pairs"), sequences, similarity))
-        unsettled = _unsettled(large, links)
-    if unsettled is not None:
-        links = links.union(_links(materialize(remaining_pairs(unsettled, sequences, similarity).join(pairs, ["a", "b"], "left_anti"), "remaining-pairs"), sequences, similarity)).dropDuplicates(["a", "b"])
+    links = _links(lead_pairs(members, similarity), sequences, similarity)
+    rounds = (lambda left: _second_lead_pairs(left, similarity), lambda left: remaining_pairs(left, sequences, similarity))
+    for compared, pairs in enumerate(rounds, 1):
+        left = _unsettled(members, links, compared)
+        if left is None:
+            break
+        links = links.union(_links(materialize(pairs(left), "pairs"), sequences, similarity))
     # copies of a text that share no representative because of repeated ids are joined here too
-    classes = connected_components(links.select("a", "b"))
-    degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
-    named = classes.join(degree, "node", "left")
-    known = reps.select("k1", "k2", "n_words", "rep").join(named, F.col("rep") == F.col("node"), "left").select("k1", "k2", "n_words", F.coalesce("component", "rep").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    known = reps.join(connected_components(links.select("a", "b")), F.col("rep") == F.col("node"), "left").select("k1", "k2", "n_words", "copies", F.coalesce("component", "rep").alias("class_id"))
+    known = known.join(known.groupBy("class_id").agg(F.sum("copies").alias("class_size")), "class_id")
     out = signed.select("doc_id", "k1", "k2", "n_words").join(known, ["k1", "k2", "n_words"], "left")
     alone = F.col("doc_id").isNull() | (F.col("n_words") == 0)
-    return out.select("doc_id", F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.when(alone, 0).otherwise(F.col("n_links")).cast("long").alias("n_links"))
+    return out.select("doc_id", F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.when(alone, 1).otherwise(F.col("class_size")).cast("long").alias("class_size"))
 
 
 def deduplicate(docs: DataFrame, **options) -> DataFrame:
