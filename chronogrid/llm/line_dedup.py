@@ -6,30 +6,40 @@ estimate lies clearly above `min_sites` are boilerplate, those clearly below are
 `band` of it get an exact distinct count.  A boilerplate line is removed wherever it stands but at its first
 occurrence, the smallest (doc_id, line number), so that one copy of any text stays.
 
+Boilerplate lines reach the documents as sorted 64-bit hashes in blocks of at most `block_lines`, each sent to
+all tasks; one pass over the texts looks lines up in all blocks and cuts them.  Texts are never shuffled.
+
 Defined results: a line counts only if it has a word, and is compared as it is; null text has no lines and
 stays null; a null source is a site of its own; identical rows are judged alike (all of a repeated first row
-stay); a null doc_id sorts first; a text of which nothing is removed is unchanged, byte for byte.
+stay); of equally early occurrences the smaller doc_id is the first, and a null doc_id sorts before all; a
+text of which nothing is removed is unchanged, byte for byte; a text of any length is split in one task; an
+empty table gives no rows; extra columns stay, but n_lines and n_removed are replaced.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from .common import bounded_batches, broadcast_if_small, materialize
 
-MIN_SITES, BAND, LG_K = 12, 0.15, 10
+MIN_SITES, BAND, LG_K, BLOCK_LINES = 12, 0.15, 10, 2_000_000
 _HASHES = ["h1", "h2"]
+#: The seed of Spark's xxhash64(); of a string it hashes the UTF-8 bytes.
+_SEED = 42
 
 
 def exploded(docs: DataFrame) -> DataFrame:
-    """doc_id, th (the text's hash), site, pos and the line's hashes, for each line with a word."""
+    """doc_id, site, pos and the line's hashes, for each line with a word."""
     site = F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit("-"))
-    lines = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), site.alias("site"), F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
-    return lines.where(F.col("line").rlike(r"[^\x20\x09-\x0D]")).select("doc_id", "th", "site", "pos", F.xxhash64("line").alias("h1"), F.hash("line").alias("h2"))
+    lines = docs.select(F.col("doc_id").cast("long").alias("doc_id"), site.alias("site"), F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
+    return lines.where(F.col("line").rlike(r"[^\x20\x09-\x0D]")).select("doc_id", "site", "pos", F.xxhash64("line").alias("h1"), F.hash("line").alias("h2"))
 
 
 def boilerplate(lines: DataFrame, min_sites: int = MIN_SITES, band: float = BAND) -> DataFrame:
@@ -42,32 +52,64 @@ def boilerplate(lines: DataFrame, min_sites: int = MIN_SITES, band: float = BAND
     return materialize(counted.select(*_HASHES, F.col("first.doc_id").alias("first_doc"), F.col("first.pos").alias("first_pos")), "boilerplate")
 
 
-def _without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        at, texts = batch.schema.get_field_index("text"), []
-        for text, removed in zip(batch.column("text").to_pylist(), batch.column("__removed").to_pylist(), strict=True):
-            if text is not None and removed:
-                gone = set(removed)
-                text = "\n".join(x for k, x in enumerate(text.split("\n")) if k not in gone)
-            texts.append(text)
-        yield batch.set_column(at, "text", pa.array(texts, pa.string()))
-
-
-def line_dedup(docs: DataFrame, min_sites: int = MIN_SITES, band: float = BAND) -> DataFrame:
+class Block:
+    """Sorted hashes of boilerplate lines with their first occurrences."""
+
+    def __init__(self, rows: pa.Table) -> None:
+        h = rows.column("h1").to_numpy()
+        order = np.argsort(h)
+        self.hash, self.pos = h[order], rows.column("first_pos").to_numpy()[order]
+        ids = rows.column("first_doc")
+        self.null = ids.is_null().to_numpy()[order]
+        self.doc = ids.fill_null(0).to_numpy()[order]
+
+    def gone(self, h: np.ndarray, null: np.ndarray, doc: np.ndarray, pos: np.ndarray) -> np.ndarray:
+        """Which of the lines are in the block and not at the first occurrence."""
+        if not len(self.hash) or not len(h):
+            return np.zeros(len(h), bool)
+        at = np.minimum(np.searchsorted(self.hash, h), len(self.hash) - 1)
+        first = (self.null[at] == null) & (self.doc[at] == doc) & (self.pos[at] == pos)
+        return (self.hash[at] == h) & ~first
+
+
+def _cutter(sent: list):
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.schema.get_field_index("text")
+            parts = [None if x is None else x.split(b"\n") for x in batch.column("text").cast(pa.binary()).to_pylist()]
+            count = np.array([len(x or ()) for x in parts], np.int64)
+            row = np.repeat(np.arange(len(parts)), count)
+            pos = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+            h = np.fromiter((xxhash.xxh64_intdigest(x, _SEED) for own in parts if own for x in own), np.uint64, len(row)).view(np.int64)
+            worded = np.fromiter((bool(x.strip(b" \t\n\x0b\x0c\r")) for own in parts if own for x in own), bool, len(row))
+            ids = batch.column("doc_id").cast(pa.int64())
+            null, doc = ids.is_null().to_numpy(zero_copy_only=False), ids.fill_null(0).to_numpy()
+            gone = np.zeros(len(row), bool)
+            for block in sent:
+                gone |= block.value.gone(h, null[row], doc[row], pos)
+            gone &= worded
+            removed = np.bincount(row[gone], minlength=len(parts))
+            texts, cuts = batch.column("text").to_pylist(), np.cumsum(count) - count
+            for k in np.flatnonzero(removed):
+                own = gone[cuts[k] : cuts[k] + count[k]]
+                texts[k] = b"\n".join(x for x, y in zip(parts[k], own.tolist(), strict=True) if not y).decode()
+            columns = [pa.array(texts, pa.string()) if k == at else x for k, x in enumerate(batch.columns)]
+            n_lines = np.bincount(row[worded], minlength=len(parts))
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(n_lines.astype(np.int64)), pa.array(removed.astype(np.int64))], names=[*batch.schema.names, "n_lines", "n_removed"])
+
+    return cut
+
+
+def line_dedup(docs: DataFrame, min_sites: int = MIN_SITES, band: float = BAND, block_lines: int = BLOCK_LINES) -> DataFrame:
     """The rows of `docs` with text cleaned, n_lines and n_removed added (and replacing columns so named)."""
-    bounded_batches(docs.sparkSession)
+    spark = docs.sparkSession
+    bounded_batches(spark)
     docs = docs.drop("n_lines", "n_removed")
-    lines = exploded(docs)
-    found = broadcast_if_small(boilerplate(lines, min_sites, band))
-    first = F.col("doc_id").eqNullSafe(F.col("first_doc")) & (F.col("pos") == F.col("first_pos"))
-    hits = lines.join(found, _HASHES).where(~first).select("doc_id", "th", "pos")
-    removed = hits.groupBy(F.col("doc_id").alias("__doc"), F.col("th").alias("__th")).agg(F.sort_array(F.collect_set("pos")).alias("__removed"))
-    removed = broadcast_if_small(materialize(removed, "removed"), 20_000)
-    worded = F.size(F.filter(F.split("text", "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__doc")) & (F.xxhash64("text") == F.col("__th"))
-    joined = docs.withColumn("n_lines", F.when(F.col("text").isNull(), 0).otherwise(worded).cast("long")).join(removed, same, "left")
-    out = joined.drop("__doc", "__th").withColumn("n_removed", F.greatest(F.size("__removed"), F.lit(0)).cast("long"))
-    return out.mapInArrow(_without, out.schema).drop("__removed")
+    found = boilerplate(exploded(docs), min_sites, band)
+    blocks = 1 + found.count() // block_lines
+    sent = [spark.sparkContext.broadcast(Block(found.where(F.pmod("h1", F.lit(blocks)) == k).toArrow())) for k in range(blocks)]
+    schema = StructType([*docs.schema.fields, StructField("n_lines", LongType()), StructField("n_removed", LongType())])
+    return docs.mapInArrow(_cutter(sent), schema)
 
 
 def oracle_sql(min_sites: int = MIN_SITES) -> str:

@@ -90,3 +90,81 @@ def test_no_python_in_the_plan(spark):
     pages, labels = data()
     df = H.host_reputation(spark.createDataFrame([(*p, "h", "c", "c") for p in pages], P), spark.createDataFrame([(*x, "c") for x in labels], LB))
     assert not any(w in df._jdf.queryExecution().executedPlan().toString() for w in ("Python", "Pandas", "Arrow"))
+
+
+def plain(pages, labels):
+    """Verdict by page_id of every page outside the rules, in plain Python."""
+    def name_of(host):
+        name = host.rsplit("@", 1)[-1]
+        head, colon, port = name.rpartition(":")
+        if colon and all(c in "0123456789" for c in port):
+            name = head
+        return name.rstrip(".")
+
+    def levels(name):
+        p = name.split(".")
+        if all(c in "0123456789." for c in name) or name[0] == "[" and name[-1] == "]":
+            return name, "ip"
+        k = 2 if ".".join(p[-2:]) in H.SUFFIXES else 1
+        return ".".join(p[-k - 1 :]), ".".join(p[-k:])
+
+    name = {i: name_of(parts(u)[0]) for i, u in pages}
+    host, raw_domain, raw_suffix = {}, {}, {}
+    add = lambda table, key, n, y: table.__setitem__(key, (table.get(key, (0, 0))[0] + n, table.get(key, (0, 0))[1] + y))
+    for i, _ in pages:
+        if name[i]:
+            bad = [int(q == 0 or t == 1) for j, q, t in labels if j is not None and j == i and not (q is None and t is None)]
+            d, s = levels(name[i])
+            for table, key in ((host, (name[i], d, s)), (raw_domain, (d, s)), (raw_suffix, s)):
+                add(table, key, len(bad), sum(bad))
+
+    def strength(groups):
+        g = [(n, y) for n, y in groups if n]
+        if len(g) < 2:
+            return 2.0
+        n, y = sum(a for a, _ in g), sum(b for _, b in g)
+        w, spread = y / n * (1 - y / n), n - sum(a * a for a, _ in g) / n
+        between = (sum(b * b / a for a, b in g) - y * y / n - (len(g) - 1) * w) / spread
+        return min(200.0, max(2.0, w / between - 1)) if between > 0 else 200.0
+
+    ms, md, mh = (strength(t.values()) for t in (raw_suffix, raw_domain, host))
+    domain, suffix, total = {}, {}, {}
+    for (_, d, s), (n, y) in host.items():
+        add(domain, (d, s), n * (mh + 1) / (n + mh), y * (mh + 1) / (n + mh))
+    for (_, s), (n, y) in domain.items():
+        add(suffix, s, n * (md + 1) / (n + md), y * (md + 1) / (n + md))
+    for n, y in suffix.values():
+        add(total, 0, n * (ms + 1) / (n + ms), y * (ms + 1) / (n + ms))
+    n, y = total.get(0, (0, 0))
+
+    def shrunk(own, m, prior):
+        p, w = (own[1] + prior[0] * m) / (own[0] + m), own[0] + m
+        return p, p * (1 - p) / (w + 1) + prior[1] * (m / w) ** 2
+
+    out, mean = {}, (y + 0.5) / (n + 1)
+    for key, own in host.items():
+        _, d, s = key
+        p, v = shrunk(own, mh, shrunk(domain[d, s], md, shrunk(suffix[s], ms, (mean, mean * (1 - mean) / (n + 2)))))
+        out[key[0]] = "block" if n and p - H.Z * v**0.5 > H.MAX_BAD else "allow"
+    return {i: out.get(name[i], "allow") for i, _ in pages}
+
+
+def test_verdicts_equal_plain_ones(spark):
+    rng = random.Random(8)
+    hosts = ["bad.co.uk", "x.bad.co.uk", *(f"good{k}.co.uk" for k in range(20)), "bad.com:8080", "bad.com.", "u@bad.com", "fine.com", "10.0.0.1", "10.0.0.2:81", "[::1]:80", "localhost", "co.uk"]
+    pages = [(i, f"http://{hosts[i % len(hosts)] if i % 3 else 'bad.co.uk'}/p{i}") for i in range(600)]
+    labels = [(i, 0 if "bad" in u and rng.random() < 0.95 else 1, None) for i, u in pages if "good" not in u and rng.random() < 0.8]
+    for rows in (labels, []):
+        want = plain(pages, rows)
+        got = {r.page_id: r for r in run(spark, pages, rows)}
+        assert {i: r.verdict for i, r in got.items() if r.rule is None} == {i: want[i] for i, r in got.items() if r.rule is None}
+    verdict = {parts(u)[0]: v for (i, u), v in zip(pages, plain(pages, labels).values(), strict=True)}
+    assert verdict["bad.co.uk"] == verdict["bad.com:8080"] == verdict["bad.com."] == "block"
+    assert all(verdict[h] == "allow" for h in verdict if "good" in h or h in ("fine.com", "10.0.0.1"))
+
+
+def test_empty_tables_and_long_urls(spark):
+    assert run(spark, [], []) == []
+    long = "http://" + "a." * 20_000 + "com/" + "x" * 100_000
+    out = run(spark, [(1, long), (1, long)], [])
+    assert [r.verdict for r in out] == ["allow"] * 2 and all(len(r.host) == 40_003 for r in out)
