@@ -1,6 +1,8 @@
+import math
 import random
 
 import numpy as np
+import pyarrow as pa
 
 from chronogrid.llm import toxicity as T
 
@@ -55,23 +57,85 @@ def test_one_class_or_none(spark):
     assert T.toxicity(corpus.frame(spark, []), spark.createDataFrame([], LB)).count() == 0
 
 
-def test_counts_equal_brute_force(spark):
+def plain_words(text):
+    kept = "".join(c.lower() if c.isascii() else c for c in text or "" if not (c.isascii() and not c.isalnum() and not c.isspace()))
+    return kept.split()
+
+
+def plain_model(docs, labels, discount):
+    """(log P_c(w), log P_c(w | v)) of both classes for each word of a text, in plain Python."""
+    pairs = lambda words: list(zip(["<s>", *words][: len(words)], words, strict=True))
+    vocabulary = {w for d in docs if d[0] in labels for w in plain_words(d[1])}
+    close = lambda words: [w if w in vocabulary else "<other>" for w in words]
+    shared = {}
+    for v, w in {p for d in docs for p in pairs(close(plain_words(d[1])))}:
+        shared[w] = shared.get(w, 0) + 1
+    size = len(vocabulary) + 2
+
+    def score(text, without=None):
+        out = []
+        for c in (0, 1):
+            n = {}
+            for d in docs:
+                if labels.get(d[0]) == c and d[0] != without:
+                    for p in pairs(plain_words(d[1])):
+                        n[p] = n.get(p, 0) + 1
+            preceding, history, taken = {}, {}, {}
+            for (v, w), k in n.items():
+                preceding[w] = preceding.get(w, 0) + 1
+                history[v] = history.get(v, 0) + k
+                taken[v] = taken.get(v, 0) + min(k, discount)
+            left = sum(min(k, discount) for k in preceding.values())
+            logs = []
+            for v, w in pairs(close(plain_words(text))):
+                base = (shared.get(w, 0) + 0.5) / (sum(shared.values()) + size / 2)
+                p = (max(preceding.get(w, 0) - discount, 0) + left * base) / len(n) if n else base
+                q = (max(n.get((v, w), 0) - discount, 0) + taken[v] * p) / history[v] if v in history else p
+                logs.append((math.log(p), math.log(q)))
+            out.append(logs)
+        return out
+
+    return score
+
+
+def test_log_likelihoods_equal_plain_ones(spark):
     docs, labels = data(60)
+    docs += [(700, None, "", "", 0, 0, "", ""), (701, "rare words only here", "", "", 0, 0, "", "")]
     known = {i: t for i, _, t, _ in labels}
     frame = corpus.frame(spark, docs)
-    marked = frame.join(spark.createDataFrame(labels, LB).select("doc_id", "toxic"), "doc_id", "left")
-    model = T.learn(marked.select("text", "toxic"))
-    total = [sum(len(d[1].split()) for d in docs if known.get(d[0]) == c) for c in (0, 1)]
-    assert [model.ordinary[: T._HALF].sum(), model.toxic[: T._HALF].sum()] == total
-    assert [model.ordinary[T._HALF :].sum(), model.toxic[T._HALF :].sum()] == total
-
-
-def test_continuation_sketch():
-    rng = np.random.default_rng(3)
-    for n in (1, 10, 100, 5000):
-        h = T.mix(rng.integers(1, 1 << 62, n).astype(np.uint64))
-        low = h >> np.uint64(2) & np.uint64(0x7FFF) | np.uint64(0x8000)
-        level = np.log2((low & (~low + np.uint64(1))).astype(float)).astype(np.uint64)
-        bits = np.bitwise_or.reduce(np.uint64(1) << ((h & np.uint64(3)) * np.uint64(16) + level))
-        assert n / 5 <= T.continuation(np.array([bits]))[0] <= 6 * n + 6
-    assert T.continuation(np.array([0], np.uint64))[0] == 0
+    marked = frame.join(spark.createDataFrame(labels, LB).select("doc_id", "toxic"), "doc_id")
+    for discount in (0.75, 3.0):
+        model = T.class_counts(marked.select("text", "toxic"), discount)
+        model.shared = T.shared_counts(frame, model.vocabulary)
+        score = plain_model(docs, known, discount)
+        for d in [*docs[:12], *docs[-2:]]:
+            for s in T.normalised_slices(pa.array([d[1]], pa.string())):
+                word, earlier = T.encode(model.vocabulary, s)
+                cases = [(None, None)] + ([(d[0], T.Own(model, s, word, earlier, np.array([known[d[0]]])))] if d[0] in known else [])
+                for without, own in cases:
+                    got = model.log_probabilities(word, earlier, own)
+                    want = score(d[1], without)
+                    for c in (0, 1):
+                        assert np.allclose(np.array(got[c]).T.reshape(-1, 2), np.array(want[c]).reshape(-1, 2))
+
+
+def test_expressions_of_ordinary_words(spark):
+    """Pairs tell the classes apart where the words alone do not."""
+    rng = random.Random(5)
+    docs, labels = [], []
+    for i in range(400):
+        w = corpus.prose(rng, corpus.EN, 40).split()
+        for _ in range(4):
+            at = rng.randrange(39)
+            w[at : at + 2] = ["alpha", "beta"] if i % 2 else ["beta", "alpha"]
+        docs.append((i, " ".join(w), "", "", 0, 0, "", ""))
+        labels.append((i, 1, i % 2, "c"))
+    out = T.toxicity(corpus.frame(spark, docs), spark.createDataFrame(labels, LB)).where("held_out").collect()
+    assert np.mean([(r.score >= 0.5) == bool(r.doc_id % 2) for r in out]) > 0.9
+
+
+def test_bounded_sample_and_long_text(spark):
+    docs, labels = data(300)
+    docs.append((800, "idiot " + "word and river " * 100_000, "", "", 0, 0, "", ""))
+    out = T.toxicity(corpus.frame(spark, docs), spark.createDataFrame(labels, LB), class_chars=20_000, calibration_rows=50).collect()
+    assert len(out) == 301 and all(0 <= r.score <= 1 for r in out)
