@@ -10,9 +10,14 @@ The benchmark is read in blocks of at most `block_bytes` of text, each sent to a
 first counts n-grams over the whole corpus), so its size is bounded whatever the benchmark's; documents are
 never shuffled, and nothing depends on how many documents share a passage.
 
-Defined results: null texts and texts shorter than a seed match nothing; items with fewer than `min_words`
-words are not searched for; null item text is skipped; repeated items and repeated documents each get their
-own rows; extra columns are ignored.
+Every passage is reported: what lies before and after a passage is searched again, so that an item that stands
+twice in a row gives two.  Items of fewer than SHORT words count only where they stand whole, as half of four
+words is no evidence.
+
+Defined results: null texts and texts shorter than a seed match nothing; items with fewer than N words have no
+seed and are not searched for; null item text is skipped; repeated items and repeated documents each get their
+own rows; of equally good alignments the one that ends first is reported; a text of any length is searched
+whole in one task; without documents or items there are no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,7 +35,7 @@ from pyspark.sql import functions as F
 from .common import bounded_batches
 from .text import normalised_slices, window_docs, window_hash
 
-N, WINDOW, MIN_SCORE, MIN_WORDS, BLOCK_BYTES = 3, 5, 0.5, 5, 4 << 20
+N, WINDOW, MIN_SCORE, SHORT, BLOCK_BYTES = 3, 5, 0.5, 8, 4 << 20
 _SCHEMA = "doc_id long, item_id long, score double, first_word long, last_word long"
 
 
@@ -40,13 +45,13 @@ class Items:
     words: list[np.ndarray]
 
     @classmethod
-    def of(cls, rows: list[tuple[int | None, str]], min_words: int) -> Items:
+    def of(cls, rows: list[tuple[int | None, str]]) -> Items:
         ids, words = [], []
         for s in normalised_slices(_lower(pa.array([t for _, t in rows], pa.string()))):
             h = s.hashes()
             for k in range(s.lo, s.hi):
                 own = h[s.first[k - s.lo] : s.first[k - s.lo + 1]]
-                if len(own) >= max(min_words, N):
+                if len(own) >= N:
                     ids.append(rows[k][0])
                     words.append(own)
         return cls(ids, words)
@@ -103,6 +108,25 @@ def regions(diagonals: np.ndarray, length: int, slack: int, lo: int, hi: int) ->
     return [(max(lo, int(g[0]) - slack), min(hi, int(g[-1]) + length + slack), g) for g in np.split(d, split)]
 
 
+def passages(item: np.ndarray, vocabulary: np.ndarray, h: np.ndarray, x: int, y: int, diagonals: np.ndarray, least: float) -> list[tuple[float, int, int]]:
+    """(score, first word, last word) of the passages of h[x:y] that align with the item, none inside another."""
+    n, found, todo = len(item), [], [(x, y)]
+    while todo:
+        x, y = todo.pop()
+        if y - x < least * n or np.isin(h[x:y], vocabulary).sum() < least * n:
+            continue
+        exact = next((int(g) for g in diagonals if x <= g and g + n <= y and np.array_equal(h[g : g + n], item)), None)
+        if exact is not None:  # an equal passage has the full score
+            score, first, last = 1.0, exact, exact + n - 1
+        else:
+            best, first, last = smith_waterman(item, h[x:y])
+            score, first, last = best / n, first + x, last + x
+        if score >= least:
+            found.append((score, first, last))
+            todo += [(x, first), (last + 1, y)]
+    return sorted(found, key=lambda f: f[1])
+
+
 def _lower(col: pa.Array) -> pa.Array:
     return pc.utf8_lower(col.cast(pa.string()))
 
@@ -135,15 +159,7 @@ def _finder(items: Items, seeds: Seeds, min_score: float):
                 item, begin, end = items.words[k], int(s.first[d]), int(s.first[d + 1])
                 n = len(item)
                 for x, y, own in regions(diagonal[group], n, max(6, n // 4), begin, end):
-                    exact = next((int(g) for g in own if begin <= g and g + n <= end and np.array_equal(h[g : g + n], item)), None)
-                    if exact is not None:  # an equal passage has the full score
-                        score, first, last = 1.0, exact, exact + n - 1
-                    elif np.isin(h[x:y], vocabulary[k]).sum() < min_score * n:
-                        continue
-                    else:
-                        found, first, last = smith_waterman(item, h[x:y])
-                        score, first, last = found / n, first + x, last + x
-                    if score >= min_score:
+                    for score, first, last in passages(item, vocabulary[k], h, x, y, own, min_score if n >= SHORT else 1.0):
                         yield s.lo + d, k, score, first - begin, last - begin
 
     return find
@@ -194,24 +210,24 @@ def _blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[list[tuple[int |
         yield own
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, min_score: float = MIN_SCORE, min_words: int = MIN_WORDS, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, min_score: float = MIN_SCORE, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, item_id, score, first_word, last_word of each passage of `docs` that aligns with an item."""
     bounded_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     parts = []
     for block in _blocks(benchmark, block_bytes):
-        items = Items.of(block, min_words)
+        items = Items.of(block)
         if items.words:
             parts.append(search(docs, items, items.seeds(corpus_counts(docs, items.grams()), window), min_score))
     return reduce(DataFrame.union, parts) if parts else docs.sparkSession.createDataFrame([], _SCHEMA)
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, min_score: float = MIN_SCORE, min_words: int = MIN_WORDS, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, min_score: float = MIN_SCORE, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The rows of `docs`, all columns, without a passage of the benchmark: decided row by row, no shuffle."""
     bounded_batches(docs.sparkSession)
     counted = docs.select(F.col("text").cast("string"))
     for block in _blocks(benchmark, block_bytes):
-        items = Items.of(block, min_words)
+        items = Items.of(block)
         if items.words:
             docs = docs.mapInArrow(_keeper(items, items.seeds(corpus_counts(counted, items.grams()), window), min_score), docs.schema)
     return docs

@@ -7,9 +7,12 @@ lower-cased, stripped of ASCII symbols and digits, cut into blocks of `block_byt
 counts throughout a long text, and compressed with each dictionary; the smallest total wins.  The margin is
 the share by which the second-best total exceeds the best; a text below `min_margin` is rejected.
 
+Any number of languages is learned; beyond about 128 they share `total_bytes` of samples.
+
 Defined results: a null text or one without a letter is `und` with score 0 and rejected; with no labelled
 row everything is `und`; ties go to the language that sorts first; null lang is never learned; repeated rows
-get equal results; a column named like an output column is dropped.
+get equal results, and copies count once in a sample; a text of any length is compressed whole, a block at a
+time; an empty table gives no rows; a column named like an output column is dropped.
 """
 
 from __future__ import annotations
@@ -26,7 +29,7 @@ from .common import bounded_batches, broadcast_if_small, held_out, materialize
 
 UNKNOWN = "und"
 SAMPLE_ROWS, TEXT_BYTES, DICTIONARY_BYTES, BLOCK_BYTES, LEVEL = 256, 2048, 256 << 10, 4096, 6
-MIN_MARGIN, MAX_LANGUAGES, PIECES = 0.005, 256, 8
+MIN_MARGIN, TOTAL_BYTES, PIECES = 0.005, 64 << 20, 8
 _DROP = bytes(x for x in range(33, 127) if not chr(x).isalpha())
 _ASCII_LETTER = re.compile(rb"[A-Za-z]")
 
@@ -47,21 +50,19 @@ def _pieces(text_bytes: int) -> Column:
     return F.when(F.length("text") <= text_bytes, F.array("text")).otherwise(parts)
 
 
-def learn(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, text_bytes: int = TEXT_BYTES, dictionary_bytes: int = DICTIONARY_BYTES, max_languages: int = MAX_LANGUAGES) -> dict[str, bytes]:
+def learn(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, text_bytes: int = TEXT_BYTES, dictionary_bytes: int = DICTIONARY_BYTES, total_bytes: int = TOTAL_BYTES) -> dict[str, bytes]:
     """A dictionary for each language of the rows given (doc_id, text, lang).
 
-    The driver gets at most `max_languages` * `sample_rows` texts of `text_bytes` characters.
+    The driver gets about `total_bytes` characters at most: with very many languages each has a smaller sample.
     """
     rows = docs.where("lang is not null and text is not null and doc_id is not null")
     hashed = materialize(rows.groupBy("lang", F.xxhash64("text").alias("h")).agg(F.min("doc_id").alias("doc_id")), "hashes")
     # a language's share of the hashes is cut to about eight times the sample before any one task ranks it
     sizes = materialize(hashed.groupBy("lang").agg(F.count("*").alias("n")), "languages")
+    sample_rows = max(4, min(sample_rows, total_bytes // (text_bytes * max(1, sizes.count()))))
     low = F.shiftrightunsigned("h", 1) <= F.lit(2.0**63) * 8 * sample_rows / F.col("n")
-    hashed = hashed.join(broadcast_if_small(sizes, max_languages), "lang").where(low)
+    hashed = hashed.join(broadcast_if_small(sizes), "lang").where(low)
     first = materialize(hashed.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("rank") <= sample_rows), "sample")
-    languages = first.select("lang").distinct().limit(max_languages + 1).count()
-    if languages > max_languages:
-        raise ValueError(f"more than {max_languages} languages")
     picked = rows.select("doc_id", "lang", F.xxhash64("text").alias("h"), _pieces(text_bytes).alias("pieces")).join(broadcast_if_small(first), ["doc_id", "lang", "h"])
     texts: dict[str, list[tuple[int, bytes]]] = {}
     for r in picked.dropDuplicates(["lang", "h"]).select("lang", "h", "pieces").toLocalIterator():

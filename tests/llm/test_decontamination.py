@@ -85,7 +85,7 @@ def test_odd_rows(spark):
 
 
 def test_seeds_cover_every_stretch():
-    items = D.Items.of([(1, " ".join(f"w{i}" for i in range(30)))], 5)
+    items = D.Items.of([(1, " ".join(f"w{i}" for i in range(30)))])
     counts = {int(h): (0 if k % 9 else 50) for k, h in enumerate(D.window_hash(items.words[0], D.N))}
     at = sorted(items.seeds(counts, 5)[2].tolist())
     assert at[0] < 5 and at[-1] >= 28 - 5 and max(np.diff(at)) <= 5
@@ -93,7 +93,7 @@ def test_seeds_cover_every_stretch():
 
 @pytest.mark.parametrize("text", [None, "", "a", "a b"])
 def test_short_items(text):
-    assert D.Items.of([(1, text or "")], 1).words == []
+    assert D.Items.of([(1, text or "")]).words == []
 
 
 def test_intact_grams_beside_broken_ones_are_seeds(spark):
@@ -106,3 +106,38 @@ def test_intact_grams_beside_broken_ones_are_seeds(spark):
     out = D.contaminated(corpus.frame(spark, docs), bench(spark, [(1, " ".join(item))])).collect()
     assert [(r.doc_id, r.item_id, r.score) for r in out] == [(1, 1, 0.6)]
     assert D.decontaminate(corpus.frame(spark, docs), bench(spark, [(1, " ".join(item))])).count() == 0
+
+
+def test_every_passage_and_short_items(spark):
+    item = " ".join(f"w{i}" for i in range(6))
+    long = " ".join(f"v{i}" for i in range(20))
+    docs = [(1, f"x {item} {item} y", "", "", 0, 0, "", ""), (2, f"{long} {long} gap {long}", "", "", 0, 0, "", ""), (3, "a Lone, short item b", "", "", 0, 0, "", ""), (4, "a lone short thing w0 w1 w2 w3", "", "", 0, 0, "", "")]
+    out = D.contaminated(corpus.frame(spark, docs), bench(spark, [(1, item), (2, long), (3, "lone short item"), (4, "also a lone short")])).collect()
+    got = sorted((r.doc_id, r.item_id, r.score, r.first_word, r.last_word) for r in out)
+    assert got == [(1, 1, 1.0, 1, 6), (1, 1, 1.0, 7, 12), (2, 2, 1.0, 0, 19), (2, 2, 1.0, 20, 39), (2, 2, 1.0, 41, 60), (3, 3, 1.0, 1, 3)]
+
+
+def test_pairs_equal_brute_force(spark):
+    """All documents against all items by the plain table; items of 8 words or more, edited in every way."""
+    items, docs, _ = planted(7)
+    docs = docs[:60]
+    words = lambda t: t.lower().replace(",", "").split()
+    numbers = {}
+    coded = lambda t: [numbers.setdefault(w, len(numbers)) for w in words(t)]
+    want = set()
+    for d in docs:
+        b = coded(d[1])
+        grams = {tuple(b[i : i + D.N]) for i in range(len(b))}
+        for k, text in items:
+            a = coded(text)
+            if any(tuple(a[i : i + D.N]) in grams for i in range(len(a) - D.N + 1)) and plain_smith_waterman(a, b) >= D.MIN_SCORE * len(a):
+                want.add((d[0], k))
+    got = {(r.doc_id, r.item_id) for r in D.contaminated(corpus.frame(spark, docs), bench(spark, items)).collect()}
+    assert got == want and len(want) >= 15
+
+
+def test_long_text_ties_and_repeated_rows(spark):
+    item = " ".join(f"w{i}" for i in range(12))
+    row = (1, "filler words " * 60_000 + item, "", "", 0, 0, "", "")
+    out = D.contaminated(corpus.frame(spark, [row, row]), bench(spark, [(1, item), (1, item)])).collect()
+    assert [(r.doc_id, r.item_id, r.first_word) for r in out] == [(1, 1, 120_000)] * 4

@@ -1,4 +1,7 @@
 import random
+import re
+
+import zstandard
 
 from chronogrid.llm import language_id as L
 
@@ -56,3 +59,38 @@ def test_dictionaries_hold_more_than_a_header(spark):
     for i in range(4):
         assert f"middle{chr(97 + i)}".encode() in learned["en"] and f"ending{chr(97 + i)}".encode() in learned["en"]
     assert len(learned["en"]) <= 4 * (L.TEXT_BYTES + L.PIECES)
+
+
+def test_many_languages_ties_and_repeated_rows(spark):
+    rows = [(k, f"{chr(97 + k % 26)}{chr(97 + k // 26)}x " * 40, f"l{k:03d}") for k in range(400)]
+    rows += [(1000, rows[0][1], "aaa"), rows[5], rows[5]]
+    docs = spark.createDataFrame([(*r, "s", "clash") for r in rows], "doc_id long, text string, lang string, source string, lang_pred string")
+    learned = L.learn(docs.select("doc_id", "text", "lang"), total_bytes=400 * 4 * L.TEXT_BYTES)
+    assert len(learned) == 401
+    found = L.identify(docs, learned).collect()
+    by = {}
+    for r in found:
+        by.setdefault(r.doc_id, set()).add((r.lang_pred, r.score))
+    assert len(found) == len(rows) and all(len(x) == 1 for x in by.values())
+    assert by[0] == {("aaa", 0.0)}  # l000 learned the same text
+    assert sum(next(iter(by[k]))[0] == f"l{k:03d}" for k in range(1, 400)) > 380
+
+
+def plain(text, dictionaries):
+    """Sizes by one compressor a block and language."""
+    raw = re.sub(rb"[!-@\[-`{-~]", b"", text.lower().encode())
+    sizes = []
+    for lang, d in sorted(dictionaries.items()):
+        own = zstandard.ZstdCompressionDict(d, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        c = lambda b: zstandard.ZstdCompressor(level=L.LEVEL, dict_data=own, write_content_size=False, write_dict_id=False).compress(b)  # noqa: B023, E731
+        sizes.append((sum(len(c(raw[i : i + L.BLOCK_BYTES])) for i in range(0, len(raw), L.BLOCK_BYTES)), lang))
+    sizes.sort()
+    return sizes[0][1], (sizes[1][0] - sizes[0][0]) / sizes[1][0]
+
+
+def test_predictions_equal_plain_ones(spark):
+    rows = data(60)
+    docs = corpus.frame(spark, rows)
+    learned = L.learn(docs.select("doc_id", "text", "lang").where("doc_id < 40"))
+    for r in L.identify(docs, learned).collect():
+        assert (r.lang_pred, r.score) == plain(rows[r.doc_id][1], learned) and r.rejected == (r.score < L.MIN_MARGIN)
