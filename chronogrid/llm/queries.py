@@ -59,4 +59,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_warc": warc.oracle_sql(), "op4_host_reputation": host_reputation.oracle_sql(), "op10_line_dedup": line_dedup.oracle_sql()}
+    return {"op2_warc": warc.oracle_sql(), "op4_host_reputation": host_reputation.oracle_sql(), "op8_substring_dedup": substring_dedup.oracle_sql(), "op10_line_dedup": line_dedup.oracle_sql()}

@@ -7,8 +7,11 @@
 2. Confirmation.  Windows of mixed anchors are counted by their own hashes; those found twice are confirmed.
 3. Location.  Each document's confirmed windows merge into maximal passages.  The passages of a shard (a
    slice of documents) are compiled into an Aho-Corasick automaton over word numbers, all documents of the
-   shard are streamed through it, and the words of every occurrence are removed.  A document without a
-   confirmed window cannot contain a passage.  Shards bound the automaton; they follow the documents.
+   shard that hold one are streamed through it, and the words of every occurrence are removed.
+
+The automata follow the documents: sending all documents through the automata of all passages would cost the
+product of both.  As a document's own windows were looked up before, its automaton finds again what they tell;
+the rows are those of the hash lookup.
 
 What is known of anchors and windows reaches the documents in one of two ways: as sorted arrays sent to all
 tasks while at most `broadcast_entries` (a checked count), else by shuffled joins on the hash and then on
@@ -17,7 +20,10 @@ so a passage in a third of all documents is no hot spot.
 
 Defined results: null text has no words, n_removed 0 and the digest of the empty text; texts shorter than a
 window keep all words; equal rows and overlapping repeats in one document count as occurrences; rows are
-treated separately, null and repeated doc_ids included.
+treated separately, null and repeated doc_ids included; of equally small grams the rightmost is the anchor, and where
+that rule breaks, across 2**24 words of one text, equal windows still have equal grams as anchors and are
+counted by their own hashes; a text of any length and any number of different words is searched whole in one
+task; an empty table gives no rows; extra columns are dropped.
 """
 
 from __future__ import annotations
@@ -170,25 +176,36 @@ def passages(s: Slice, w: Windows, repeated: np.ndarray) -> list[tuple[int, int,
     return list(zip(doc[begin].tolist(), at[begin].tolist(), (at[end] + w.window).tolist(), strict=True))
 
 
+#: Characters that stand for words: below the surrogates, one a word, or two where there are more words.
+_CODES = 0xD000
+
+
+def _characters(numbers: np.ndarray, width: int) -> np.ndarray:
+    return (np.stack([numbers // _CODES, numbers % _CODES], 1) if width == 2 else numbers).astype("<u4")
+
+
 def locate(s: Slice, found: list[tuple[int, int, int]], words: np.ndarray) -> np.ndarray:
-    """Which words of the slice an occurrence of a passage covers, by an automaton over word numbers."""
+    """Which words of the slice an occurrence of a passage covers, by an automaton over the passages' words."""
     covered = np.zeros(len(words) + 1, np.int32)
     if found:
-        _, number = np.unique(words, return_inverse=True)
-        # word numbers as characters, past the surrogates
-        code = (number + np.where(number >= 0xD000, 0x1000, 0)).astype("<u4")
-        if code.max() > 0x10FFFF:
-            raise ValueError("a shard has too many different words")
-        text = lambda a, b: code[a:b].tobytes().decode("utf-32-le")
+        alphabet = np.unique(np.concatenate([words[a:b] for _, a, b in found]))
+        width = 1 if len(alphabet) < _CODES else 2
         automaton = ahocorasick.Automaton()
+
+        def text(a: int, b: int) -> str:
+            at = np.minimum(np.searchsorted(alphabet, words[a:b]), len(alphabet) - 1)
+            # 0 is every word that no passage has
+            return _characters(np.where(alphabet[at] == words[a:b], at + 1, 0), width).tobytes().decode("utf-32-le")
+
         for _, a, b in found:
             automaton.add_word(text(a, b), b - a)
         automaton.make_automaton()
         for d in sorted({d for d, _, _ in found}):
             base = int(s.first[d])
             for end, length in automaton.iter(text(base, int(s.first[d + 1]))):
-                covered[base + end + 1 - length] += 1
-                covered[base + end + 1] -= 1
+                if (end + 1) % width == 0:  # else between the characters of a word
+                    covered[base + (end + 1) // width - length] += 1
+                    covered[base + (end + 1) // width] -= 1
     return np.cumsum(covered[:-1]) > 0
 
 
@@ -228,3 +245,16 @@ def remove_repeats(docs: DataFrame, broadcast_entries: int = BROADCAST_ENTRIES)
     source = docs if sent is not None else search.joined()
     return source.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept string")
 
+
+def oracle_sql(window: int = WINDOW) -> str:
+    """doc_id, n_words, n_removed, kept_sha256 in DuckDB SQL, for unique doc_ids."""
+    return f"""
+    with w as (select doc_id, coalesce(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+'), []) as ws from documents),
+    s as (select doc_id, ws, unnest(range(1, len(ws) - {window} + 2)) as i from w where len(ws) >= {window}),
+    h as (select doc_id, i, md5(array_to_string(ws[i:i + {window} - 1], ' ')) as h from s),
+    r as (select h from h group by h having count(*) > 1),
+    c as (select distinct doc_id, i + j as pos from h join r using (h) cross join range({window}) t(j)),
+    l as (select doc_id, unnest(ws) as word, unnest(range(1, len(ws) + 1)) as pos from w),
+    k as (select doc_id, count(*) as n, string_agg(word, ' ' order by pos) as kept from l anti join c using (doc_id, pos) group by 1)
+    select doc_id, len(ws)::bigint as n_words, (len(ws) - coalesce(k.n, 0))::bigint as n_removed, sha256(coalesce(k.kept, '')) as kept_sha256
+    from w left join k using (doc_id)"""

@@ -1,6 +1,8 @@
 import random
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from chronogrid.llm import substring_dedup as S
@@ -57,3 +59,16 @@ def test_empty(spark):
     assert S.remove_repeats(corpus.frame(spark, [])).count() == 0
     got = S.remove_repeats(corpus.frame(spark, [(None, None, None, None, None, None, None, None)])).collect()
     assert [(r.doc_id, r.n_words, r.n_removed, r.kept) for r in got] == [(None, 0, 0, "")]
+
+
+def test_many_different_words():
+    """More words than there are characters, in one long text with a passage that repeats."""
+    n = 1_200_000
+    rng = np.random.default_rng(1)
+    passage = [f"p{i}" for i in range(50)]
+    words = [f"x{i}" for i in rng.permutation(n)]
+    s = next(S.slices(pa.array([" ".join(words[: n // 2] + passage + words[n // 2 :] + passage)])))
+    h = s.hashes()
+    gone = S.locate(s, [(0, n // 2, n // 2 + 50)], h)
+    assert np.flatnonzero(gone).tolist() == [*range(n // 2, n // 2 + 50), *range(n + 50, n + 100)]
+    assert np.flatnonzero(S.locate(s, [(0, 10, 100_010), (0, n // 2, n // 2 + 50)], h)).tolist() == [*range(10, 100_010), *range(n // 2, n // 2 + 50), *range(n + 50, n + 100)]
