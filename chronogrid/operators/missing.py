@@ -27,12 +27,16 @@ def list_totally_missing(panel: Panel) -> DataFrame:
 
 
 def fill_groups_with_time_means(panel: Panel) -> Panel:
-    """Units of which every feature is missing at all times take each time's mean."""
-    unit, time = Window.partitionBy(panel.unit), Window.partitionBy(panel.time)
+    """Units of which every feature is missing at all times take each time's mean.
+
+    The means are one row per time, summed before their shuffle and broadcast: a panel has few steps.
+    """
+    unit = Window.partitionBy(panel.unit)
     seen = sum((F.count(f).over(unit) for f in panel.features), F.lit(0))
-    df = panel.df.withColumn("_seen", seen)
-    df = df.withColumns({f: F.when(F.col("_seen") == 0, F.avg(f).over(time)).otherwise(F.col(f)) for f in panel.features})
-    return panel.with_df(df.drop("_seen"))
+    means = panel.df.groupBy(panel.time).agg(*(F.avg(f).alias(f"_m_{f}") for f in panel.features))
+    df = panel.df.withColumn("_seen", seen).join(F.broadcast(means), panel.time)
+    df = df.withColumns({f: F.when(F.col("_seen") == 0, F.col(f"_m_{f}")).otherwise(F.col(f)) for f in panel.features})
+    return panel.with_df(df.drop("_seen", *(f"_m_{f}" for f in panel.features)))
 
 
 def fill_with_group_and_global_means(panel: Panel) -> Panel:

@@ -6,20 +6,33 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..panel import Panel
+from ..plans.lineage import cut_lineage
 from .weighted import onto
 
+BROADCAST_ROWS = 500_000
 
-def ball(start: DataFrame, edges: DataFrame, order: int) -> DataFrame:
-    """(month, unit, member): all that `order` hops reach, the unit itself included; none for a negative order."""
-    found = start.select("month", "unit", F.col("unit").alias("member"))
-    if order < 0:
-        return found.where(F.lit(False))
-    hops = edges.select(F.col("month_id").alias("month"), F.col("a_id").alias("member"), F.col("b_id").alias("next")).distinct()
-    for _ in range(order):
-        found = found.union(found.join(hops, ["month", "member"]).select("month", "unit", F.col("next").alias("member"))).distinct()
+
+def balls(edges: DataFrame, order: int) -> DataFrame:
+    """(net, unit, member, hops): what each unit reaches in up to `order` hops, with the fewest, itself included.
+
+    edges: (net, a_id, b_id).  A net is a few hundred countries, so each hop is one small join.
+    """
+    hops = edges.select("net", F.col("a_id").alias("member"), F.col("b_id").alias("next")).distinct()
+    found = edges.select("net", F.col("b_id").alias("unit"), F.col("b_id").alias("member")).distinct().withColumn("hops", F.lit(0))
+    for k in range(order):
+        rim = found.where(F.col("hops") == k).join(hops, ["net", "member"]).select("net", "unit", F.col("next").alias("member"), F.lit(k + 1).alias("hops"))
+        found = found.union(rim).groupBy("net", "unit", "member").agg(F.min("hops").alias("hops"))
     return found
 
 
+def nets(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(month, net) and the edges (net, a_id, b_id) of each different network: few over all months."""
+    months = edges.groupBy("month_id").agg(F.xxhash64(F.sort_array(F.collect_set(F.struct("a_id", "b_id")))).alias("net"))
+    months = cut_lineage(months)
+    one = months.groupBy("net").agg(F.min("month_id").alias("month_id"))
+    return months.withColumnRenamed("month_id", "month"), edges.join(F.broadcast(one), "month_id").select("net", "a_id", "b_id").distinct()
+
+
 def country_distances(centroids: DataFrame) -> DataFrame:
     """(a_id, b_id, dist) of every ordered pair of (id, lat, lon), in degrees on a plane.
 
@@ -54,18 +67,17 @@ def country_lag(
     outer = inner + int(kernel_width)
     if inner < 0 and kernel_power < 0:
         raise ValueError("a country's distance to itself is 0: a negative power needs kernel_inner 1 or more")
-    months = edges.select(F.col("month_id").alias("month")).distinct()
-    known = edges.select(F.col("b_id").alias("unit")).distinct()
-    rows = panel.df.select(F.col(panel.time).alias("month"), F.col(panel.unit).alias("unit")).distinct()
-    start = rows.join(known, "unit", "left_semi").join(months, "month", "left_semi")
-    ring = ball(start, edges, outer).join(ball(start, edges, inner), ["month", "unit", "member"], "left_anti")
-    units = panel.df.select(F.col(panel.unit).alias("member")).distinct()
-    ring = ring.join(units, "member", "left_semi")
+    months, distinct_edges = nets(edges)
+    ring = balls(distinct_edges, max(0, outer)).where((F.col("hops") > inner) & (F.col("hops") <= outer))
     at = lambda k, name: centroids.select(F.col("id").alias(name), F.col("lat").alias(f"lat{k}"), F.col("lon").alias(f"lon{k}"))
     weight = F.pow(_far(), F.lit(float(kernel_power))) if kernel_power else F.lit(1.0)
-    weighted = ring.join(at(0, "unit"), "unit").join(at(1, "member"), "member").select("month", "unit", "member", weight.alias("weight"))
+    weighted = cut_lineage(ring.join(at(0, "unit"), "unit").join(at(1, "member"), "member").select("net", "unit", "member", weight.alias("weight")))
+    units = panel.df.select(F.col(panel.unit).alias("member")).distinct()
+    weighted = weighted.join(units, "member", "left_semi")
     values = panel.df.select(F.col(panel.time).alias("month"), F.col(panel.unit).alias("member"), F.lit(True).alias("here"), *panel.features)
-    joined = weighted.join(values, ["month", "member"], "left")
+    targets = panel.df.select(F.col(panel.time).alias("month"), F.col(panel.unit).alias("unit")).join(F.broadcast(months), "month")
+    small = weighted.count() <= BROADCAST_ROWS
+    joined = targets.join(F.broadcast(weighted) if small else weighted, ["net", "unit"]).join(values, ["month", "member"], "left")
 
     def total(f: str):
         v = F.when(F.col("here").isNull() | (F.col(f) == float("inf")), F.lit(0.0)).otherwise(F.col(f))

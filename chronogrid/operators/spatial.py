@@ -6,10 +6,13 @@ import math
 from collections.abc import Callable
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..panel import GRID_STRIDE, Grid, Panel
+from ..plans.lineage import cut_lineage
 from .weighted import onto, weighted_sum
 
 
@@ -61,9 +64,10 @@ def interactions(panel: Panel, grid: Grid, thetacrit: float, weight: Callable[[C
     """unit, level, nx, ny, weight: the quadtree nodes that each cell takes its lag from.
 
     Level by level, the open (cell, node) pairs are accepted or replaced by the node's children in an
-    equi-join: as many joins as the tree has levels.
+    equi-join: as many joins as the tree has levels.  The relation does not depend on time; each level's pairs
+    are written once, so no level computes the earlier ones again.
     """
-    cells = panel.df.select(panel.unit).distinct()
+    cells = cut_lineage(panel.df.select(panel.unit).distinct())
     nodes = _nodes(cells, grid, panel.unit).select("level", "nx", "ny").distinct()
     targets = cells.withColumns({"x": grid.x(F.col(panel.unit)), "y": grid.y(F.col(panel.unit))})
     open_ = targets.withColumns({"nx": F.lit(0), "ny": F.lit(0)})
@@ -72,7 +76,7 @@ def interactions(panel: Panel, grid: Grid, thetacrit: float, weight: Callable[[C
         h = 2.0 ** (grid.power - level)
         side = lambda c, n: F.col(c) + 0.5 - (F.col(n) + 0.5) * h + 0.01  # noqa: B023, E731
         d = F.sqrt(F.pow(side("x", "nx"), F.lit(2.0)) + F.pow(side("y", "ny"), F.lit(2.0)))
-        judged = open_.withColumn("d", d).withColumn("split", F.lit(h) / F.col("d") > thetacrit)
+        judged = cut_lineage(open_.withColumn("d", d).withColumn("split", F.lit(h) / F.col("d") > thetacrit))
         taken = ~F.col("split")
         if level == grid.power:
             taken = taken | (F.col("x") != F.col("nx")) | (F.col("y") != F.col("ny"))
@@ -115,6 +119,26 @@ def adaptive_grids(panel: Panel, grid: Grid, threshold: float, feature: str) ->
     return reduce(DataFrame.union, [x.select(panel.time, "level", "nx", "ny", "value") for x in found])
 
 
+def _weight_table(panel: Panel, grid: Grid, weight: Callable[[Column], Column], half: float) -> np.ndarray:
+    """weight of the distance (a + half, b + half) for offsets a and b from 0 to the grid's side."""
+    n = grid.ncells
+    a, b = F.floor(F.col("id") / n), F.col("id") % n
+    d = F.sqrt(F.pow(a + half, F.lit(2.0)) + F.pow(b + half, F.lit(2.0)))
+    rows = panel.df.sparkSession.range(n * n).select("id", F.when(d > 0, weight(F.greatest(d, F.lit(1e-9)))).otherwise(0.0).cast("double").alias("w")).toArrow()
+    out = np.zeros(n * n)
+    out[rows.column("id").to_numpy()] = rows.column("w").to_numpy()
+    return out.reshape(n, n)
+
+
+def level_kernel(table: np.ndarray, h: int, n: int) -> np.ndarray:
+    """The spectrum of a level's weights by the offset of a cell from the first cell of a node of h x h cells."""
+    offset = np.r_[0:n, -n:0]
+    # a node's centre lies h / 2 - 1 / 2 cells on, between cells unless h is 1
+    far = np.abs(offset) if h == 1 else np.where(offset - h // 2 >= 0, offset - h // 2, h // 2 - offset - 1)
+    far = np.minimum(far, n - 1)
+    return np.fft.rfft2(table[far[:, None], far[None, :]])
+
+
 def adaptive_grid_lag(
     panel: Panel,
     threshold: float = 10000,
@@ -126,6 +150,11 @@ def adaptive_grid_lag(
 
     Features must be present everywhere. `dfunctions` holds one Column to Column function of the distance.
     With keep_grids also (time, feature, level, nx, ny, value) of the grids.
+
+    Nodes of one level stand on a regular lattice, so a level's sum is a convolution and all levels are summed
+    in the frequency domain: a time's cost is that of a few transforms of its map, whatever its number of
+    nodes.  A task holds one time's map of at most 1024 x 1024 cells; weights, two tables of that size, are sent
+    to all tasks.  The plan shuffles cells and nodes once, by time, and joins nothing.
     """
     if split_criterion != "min":
         raise ValueError(f"split_criterion is 'min', not {split_criterion!r}")
@@ -134,18 +163,34 @@ def adaptive_grid_lag(
         raise ValueError("one distance function is needed")
     weight = next(iter(dfunctions.values()))
     grid = Grid.of(panel)
-    cells = panel.df.select(panel.time, panel.unit, grid.x(F.col(panel.unit)).alias("x"), grid.y(F.col(panel.unit)).alias("y"))
-    lagged: DataFrame | None = None
-    grids: list[DataFrame] = []
-    for f in panel.features:
-        nodes = adaptive_grids(panel, grid, threshold, f)
-        grids.append(nodes.select(panel.time, F.lit(f).alias("feature"), "level", "nx", "ny", "value"))
-        h = F.pow(F.lit(2.0), F.lit(grid.power) - F.col("level"))
-        side = lambda c, n: F.col(c) + 0.5 - (F.col(n) + 0.5) * h  # noqa: B023, E731
-        own = (F.col("level") == grid.power) & (F.col("x") == F.col("nx")) & (F.col("y") == F.col("ny"))
-        d = F.sqrt(F.pow(side("x", "nx"), F.lit(2.0)) + F.pow(side("y", "ny"), F.lit(2.0)))
-        # no coordinates are equal but a cell's own: greatest() only guards the rows that are filtered out
-        one = cells.join(nodes, panel.time).where(~own).groupBy(panel.time, panel.unit).agg(F.sum(F.col("value") * weight(F.greatest(d, F.lit(1e-9)))).alias(f))
-        lagged = one if lagged is None else lagged.join(one, [panel.time, panel.unit], "full")
-    out = onto(panel, lagged.fillna(0.0, list(panel.features)))
-    return (out, reduce(DataFrame.union, grids)) if keep_grids else out
+    n, power, time_key, unit_key, features = grid.ncells, grid.power, panel.time, panel.unit, panel.features
+    tables = panel.df.sparkSession.sparkContext.broadcast([_weight_table(panel, grid, weight, half) for half in (0.0, 0.5)])
+    grids = [adaptive_grids(panel, grid, threshold, f).select(panel.time, F.lit(f).alias("feature"), "level", "nx", "ny", "value") for f in panel.features]
+    nodes = cut_lineage(reduce(DataFrame.union, grids))
+    unit = F.col(panel.unit)
+    cells = panel.df.select(panel.time, unit, grid.x(unit).alias("x"), grid.y(unit).alias("y"), F.lit(None).cast("string").alias("feature"), F.lit(None).cast("int").alias("level"), F.lit(None).cast("double").alias("value"))
+    both = cells.union(nodes.select(panel.time, F.lit(None).cast(panel.df.schema[panel.unit].dataType), "nx", "ny", "feature", F.col("level").cast("int"), "value"))
+    spectra: dict[int, np.ndarray] = {}
+
+    def solve(rows: pd.DataFrame) -> pd.DataFrame:
+        is_cell = rows["level"].isna().to_numpy()
+        at = rows[is_cell]
+        out = at[[time_key, unit_key]].copy()
+        out[unit_key] = out[unit_key].astype("int64")
+        for f in features:
+            own = rows[(rows["feature"] == f).to_numpy()]
+            total = np.zeros((2 * n, n + 1), complex)
+            for level, x, y, value in ((k, g["x"].to_numpy(), g["y"].to_numpy(), g["value"].to_numpy()) for k, g in own.groupby("level")):
+                h = 2 ** (power - int(level))
+                if h not in spectra:
+                    spectra[h] = level_kernel(tables.value[0 if h == 1 else 1], h, n)
+                source = np.zeros((2 * n, 2 * n))
+                source[x * h, y * h] = value
+                total += np.fft.rfft2(source) * spectra[h]
+            lag = np.fft.irfft2(total, (2 * n, 2 * n))[at["x"].to_numpy(), at["y"].to_numpy()]
+            out[f] = lag
+        return out
+
+    schema = ", ".join(f"`{c}` {panel.df.schema[c].dataType.simpleString()}" for c in (panel.time, panel.unit)) + "".join(f", `{f}` double" for f in features)
+    out = onto(panel, both.groupBy(panel.time).applyInPandas(solve, schema))
+    return (out, nodes) if keep_grids else out
