@@ -37,33 +37,47 @@ def spacetime_distances(panel: Panel, return_values: str = "distances", k: int =
     Cells are half a degree wide and a step of time counts as nu degrees.  Without an event the value is 999.
     With fewer than k events distances are infinite, and the missing events' weights 0.
 
-    For any cell only a cell's k latest events can count, so a window keeps those; then each time's map is
-    one task, with memory for one map and its events whatever the number of times.
+    For any cell only a cell's k latest events can count.  An event takes its k - 1 predecessors along by
+    lag(), and rows between events the last event's, so a row's state is k pairs of numbers and no window holds
+    a list.  Then each time's map is one task, with memory for one map and its events whatever the number of
+    times.
     """
     if return_values not in ("distances", "weights"):
         raise ValueError(f"return_values is 'distances' or 'weights', not {return_values!r}")
     placed = panel.with_positions("_t")
-    past = Window.partitionBy(panel.unit).orderBy(panel.time).rowsBetween(Window.unboundedPreceding, 0)
-    latest = {f"_e_{f}": F.slice(F.reverse(F.collect_list(F.when(F.col(f) > 0, F.struct(F.col("_t").alias("t"), F.col(f).alias("v")))).over(past)), 1, k) for f in panel.features}
-    df = placed.df.select(panel.time, panel.unit, "_t", *panel.features).withColumns(latest).drop(*panel.features)
-
     time_key, unit_key, features = panel.time, panel.unit, panel.features  # the function must not carry the panel
+    df = placed.df.select(time_key, unit_key, "_t", *features).repartition(unit_key)
+    past = Window.partitionBy(unit_key).orderBy(time_key).rowsBetween(Window.unboundedPreceding, 0)
+    for i, f in enumerate(features):
+        # windows by unit and event, then by unit: both keep the partitioning by unit
+        df = df.withColumn("_event", F.coalesce(F.col(f) > 0, F.lit(False)))
+        events = Window.partitionBy(unit_key, "_event").orderBy(time_key)
+        at = lambda c, j: F.when(F.col("_event"), F.lag(c, j).over(events) if j else F.col(c))  # noqa: B023, E731
+        df = df.withColumns({f"_s{i}_{j}": F.when(F.col("_event"), F.struct(at("_t", j).alias("t"), at(f, j).alias("v"))) for j in range(k)})
+        df = df.withColumns({f"_s{i}_{j}": F.last(f"_s{i}_{j}", True).over(past) for j in range(k)})
+    flat = {f"_{c}{i}_{j}": F.col(f"_s{i}_{j}.{c}").cast("double") for i in range(len(features)) for j in range(k) for c in ("t", "v")}
+    df = df.withColumns(flat).select(time_key, unit_key, "_t", *flat)
 
     def solve(rows: pd.DataFrame) -> pd.DataFrame:
         unit = rows[unit_key].to_numpy()
         x, y, now = unit % GRID_STRIDE * DEGREES, unit // GRID_STRIDE * DEGREES, nu * rows["_t"].to_numpy(float)
         out = rows[[time_key, unit_key]].copy()
-        for f in features:
-            found = [(-e["t"], u, x[i], y[i], nu * e["t"], e["v"]) for i, (u, es) in enumerate(zip(unit, rows[f"_e_{f}"], strict=True)) if es is not None for e in es]
-            if not found:
+        for i, f in enumerate(features):
+            t = np.concatenate([rows[f"_t{i}_{j}"].to_numpy(float) for j in range(k)])
+            v = np.concatenate([rows[f"_v{i}_{j}"].to_numpy(float) for j in range(k)])
+            own = np.tile(np.arange(len(unit)), k)
+            there = ~np.isnan(t)
+            if not there.any():
                 out[f] = NONE
                 continue
-            events = np.array(sorted(found), float)
-            far, which = nearest(np.column_stack([x, y, now]), events[:, 2:5], k)
+            t, v, own = t[there], v[there], own[there]
+            order = np.lexsort((unit[own], -t))
+            t, v, own = t[order], v[order], own[order]
+            far, which = nearest(np.column_stack([x, y, now]), np.column_stack([x[own], y[own], nu * t]), k)
             if return_values == "distances":
                 out[f] = far.mean(1)
             else:
-                size = np.where(which >= 0, events[which, 5], 0.0)
+                size = np.where(which >= 0, v[which], 0.0)
                 with np.errstate(divide="ignore", invalid="ignore"):
                     out[f] = np.where(which < 0, 0.0, np.where(far == 0, size, size / far ** abs(power))).mean(1)
         return out

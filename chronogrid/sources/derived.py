@@ -71,6 +71,15 @@ def neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return months.crossJoin(F.broadcast(pairs)).select("month_id", "a_id", "b_id")  # 25 nations
 
 
+def chained(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(month_id, a_id, b_id): nations whose numbers differ by 1 or 7, in every month with orders."""
+    nation = _read(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("a_id"))
+    months = countries(spark, sf_dir).df.select(F.col("time").alias("month_id")).distinct()
+    steps = nation.select("a_id", F.explode(F.array(*(F.col("a_id") + k for k in (-7, -1, 1, 7)))).alias("b_id"))
+    pairs = steps.join(nation.select(F.col("a_id").alias("b_id")), "b_id", "left_semi").select("a_id", "b_id")
+    return months.crossJoin(F.broadcast(pairs)).select("month_id", "a_id", "b_id")  # 25 nations
+
+
 def centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.col("n_nationkey").cast("long")
     return _read(spark, sf_dir, "nation").select(key.alias("id"), (key % 5).cast("double").alias("lat"), F.floor(key / 5).cast("double").alias("lon"))

@@ -194,6 +194,24 @@ def test_mice_recovers_a_linear_relation(spark):
     assert stacked.count() == 400 and {r[0] for r in stacked.select("imp").distinct().collect()} == {0, 1}
 
 
+def test_posterior_draws(spark):
+    """Draws spread as the noise does, follow their seed and not the plan, and stay in the observed range."""
+    rng = np.random.default_rng(1)
+    rows = []
+    for t in range(3000):
+        x = rng.normal()
+        y = 2 * x + rng.normal() * 0.5
+        rows.append((t, 1, float(x), None if t % 4 == 0 else float(y)))
+    make = lambda n: Panel.ingest(spark.createDataFrame(rows, "time int, unit int, x double, y double").repartition(n), features=("x", "y"))
+    a, b, c = (mice.impute(make(n), seed, 3, sample_posterior=True).df.toPandas().set_index("time").sort_index() for n, seed in ((1, 1), (5, 1), (1, 2)))
+    assert np.allclose(a.y, b.y) and not np.allclose(a.y, c.y)
+    lost = a.index % 4 == 0
+    rest = (a.y - 2 * a.x)[lost]
+    assert abs(rest.std() - 0.5) < 0.06 and abs(rest.mean()) < 0.06 and a.y[lost].between(a.y[~lost].min(), a.y[~lost].max()).all()
+    with pytest.raises(ValueError):
+        mice.impute(make(1), estimator=lambda *x: x[1], sample_posterior=True)
+
+
 def test_properties(spark):
     rows = [(t, u, float((t * 5 + u) % 7 + 1)) for t in range(8) for u in range(3)]
     p = panel_of(spark, rows)
