@@ -27,8 +27,8 @@ def balls(edges: DataFrame, order: int) -> DataFrame:
 
 def nets(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(month, net) and the edges (net, a_id, b_id) of each different network: few over all months."""
+    edges = cut_lineage(edges.select("month_id", "a_id", "b_id"))
     months = edges.groupBy("month_id").agg(F.xxhash64(F.sort_array(F.collect_set(F.struct("a_id", "b_id")))).alias("net"))
-    months = cut_lineage(months)
     one = months.groupBy("net").agg(F.min("month_id").alias("month_id"))
     return months.withColumnRenamed("month_id", "month"), edges.join(F.broadcast(one), "month_id").select("net", "a_id", "b_id").distinct()
 

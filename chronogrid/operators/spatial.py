@@ -3,8 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
-from functools import reduce
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -60,31 +59,51 @@ def _nodes(df: DataFrame, grid: Grid, unit: str) -> DataFrame:
     return placed.withColumns({"nx": F.expr(f"shiftright(x, {grid.power} - level)"), "ny": F.expr(f"shiftright(y, {grid.power} - level)"), "h": F.pow(F.lit(2.0), up)}).drop("x", "y")
 
 
+def pyramid(x: np.ndarray, y: np.ndarray, values: np.ndarray, power: int) -> list[np.ndarray]:
+    """Sums of values over the nodes of each level, the root's first."""
+    levels = [np.zeros((1 << power, 1 << power))]
+    np.add.at(levels[0], (x, y), values)
+    for _ in range(power):
+        m = levels[0]
+        levels.insert(0, m[::2, ::2] + m[1::2, ::2] + m[::2, 1::2] + m[1::2, 1::2])
+    return levels
+
+
 def interactions(panel: Panel, grid: Grid, thetacrit: float, weight: Callable[[Column], Column]) -> DataFrame:
     """unit, level, nx, ny, weight: the quadtree nodes that each cell takes its lag from.
 
-    Level by level, the open (cell, node) pairs are accepted or replaced by the node's children in an
-    equi-join: as many joins as the tree has levels.  The relation does not depend on time; each level's pairs
-    are written once, so no level computes the earlier ones again.
+    It does not depend on time.  A batch of cells walks the tree level by level: open (cell, node) pairs are
+    taken or replaced by the node's children.  Which nodes hold cells is one bit for each node of a square of
+    at most 1024 x 1024 cells, sent to all tasks.
     """
-    cells = cut_lineage(panel.df.select(panel.unit).distinct())
-    nodes = _nodes(cells, grid, panel.unit).select("level", "nx", "ny").distinct()
-    targets = cells.withColumns({"x": grid.x(F.col(panel.unit)), "y": grid.y(F.col(panel.unit))})
-    open_ = targets.withColumns({"nx": F.lit(0), "ny": F.lit(0)})
-    found: list[DataFrame] = []
-    for level in range(grid.power + 1):
-        h = 2.0 ** (grid.power - level)
-        side = lambda c, n: F.col(c) + 0.5 - (F.col(n) + 0.5) * h + 0.01  # noqa: B023, E731
-        d = F.sqrt(F.pow(side("x", "nx"), F.lit(2.0)) + F.pow(side("y", "ny"), F.lit(2.0)))
-        judged = cut_lineage(open_.withColumn("d", d).withColumn("split", F.lit(h) / F.col("d") > thetacrit))
-        taken = ~F.col("split")
-        if level == grid.power:
-            taken = taken | (F.col("x") != F.col("nx")) | (F.col("y") != F.col("ny"))
-        found.append(judged.where(taken).select(panel.unit, F.lit(level).alias("level"), "nx", "ny", weight(F.col("d")).alias("weight")))
-        if level < grid.power:
-            children = nodes.where(F.col("level") == level + 1).select(F.col("nx").alias("cx"), F.col("ny").alias("cy"), F.shiftright("nx", 1).alias("nx"), F.shiftright("ny", 1).alias("ny"))
-            open_ = judged.where("split").drop("d", "split").join(children, ["nx", "ny"]).select(panel.unit, "x", "y", F.col("cx").alias("nx"), F.col("cy").alias("ny"))
-    return reduce(DataFrame.union, found)
+    unit = F.col(panel.unit)
+    cells = cut_lineage(panel.df.select(unit.alias("unit"), grid.x(unit).alias("x"), grid.y(unit).alias("y")).distinct())
+    found = cells.select("x", "y").toArrow()
+    x, y = (found.column(c).to_numpy() for c in ("x", "y"))
+    power = grid.power
+    here = panel.df.sparkSession.sparkContext.broadcast([m > 0 for m in pyramid(x, y, np.ones(len(x)), power)])
+
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            cx, cy = batch["x"].to_numpy(), batch["y"].to_numpy()
+            row, nx, ny = np.arange(len(cx)), np.zeros(len(cx), np.int64), np.zeros(len(cx), np.int64)
+            for level in range(power + 1):
+                h = 2.0 ** (power - level)
+                d = np.sqrt((cx[row] + 0.5 - (nx + 0.5) * h + 0.01) ** 2 + (cy[row] + 0.5 - (ny + 0.5) * h + 0.01) ** 2)
+                split = h / d > thetacrit
+                taken = ~split
+                if level == power:
+                    taken |= (cx[row] != nx) | (cy[row] != ny)
+                yield pd.DataFrame({"unit": batch["unit"].to_numpy()[row[taken]], "level": level, "nx": nx[taken], "ny": ny[taken], "d": d[taken]})
+                if level < power:
+                    row, nx, ny = (np.repeat(v[split], 4) for v in (row, nx, ny))
+                    nx, ny = 2 * nx + np.tile([0, 0, 1, 1], len(nx) // 4), 2 * ny + np.tile([0, 1, 0, 1], len(ny) // 4)
+                    there = here.value[level + 1][nx, ny]
+                    row, nx, ny = row[there], nx[there], ny[there]
+
+    kind = panel.df.schema[panel.unit].dataType.simpleString()
+    pairs = cells.mapInPandas(walk, f"unit {kind}, level int, nx int, ny int, d double")
+    return pairs.select(F.col("unit").alias(panel.unit), "level", "nx", "ny", weight(F.col("d")).alias("weight"))
 
 
 def quadtree_lag(panel: Panel, thetacrit: float, dfunction_option: int) -> Panel:
@@ -101,22 +120,37 @@ def quadtree_lag(panel: Panel, thetacrit: float, dfunction_option: int) -> Panel
     return onto(panel, weighted_sum(joined, [panel.time, panel.unit], panel.features))
 
 
-def adaptive_grids(panel: Panel, grid: Grid, threshold: float, feature: str) -> DataFrame:
-    """time, level, nx, ny, value of the nodes that cover the map of each time.
+def adaptive_nodes(x: np.ndarray, y: np.ndarray, values: np.ndarray, power: int, threshold: float) -> list[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(level, nx, ny, value) of the nodes that cover a map.
 
     From the root on, a node whose value exceeds the threshold is replaced by its children; a leaf stays.
+    Nodes without a cell are left out.
     """
-    sums = _nodes(panel.df.select(panel.time, panel.unit, feature), grid, panel.unit).groupBy(panel.time, "level", "nx", "ny").agg(F.sum(feature).alias("value"))
-    keys = [panel.time, "nx", "ny"]
-    now = sums.where("level = 0")
-    found: list[DataFrame] = []
-    for level in range(grid.power + 1):
-        high = F.col("value") > threshold
-        found.append(now if level == grid.power else now.where(~high))
-        if level < grid.power:
-            below = sums.where(F.col("level") == level + 1).withColumns({"cx": F.col("nx"), "cy": F.col("ny"), "nx": F.shiftright("nx", 1), "ny": F.shiftright("ny", 1)})
-            now = below.join(now.where(high).select(*keys), keys, "left_semi").withColumns({"nx": F.col("cx"), "ny": F.col("cy")}).select(panel.time, "level", "nx", "ny", "value")
-    return reduce(DataFrame.union, [x.select(panel.time, "level", "nx", "ny", "value") for x in found])
+    sums, here = pyramid(x, y, values, power), pyramid(x, y, np.ones(len(x)), power)
+    found, now = [], np.ones((1, 1), bool)
+    for level in range(power + 1):
+        high = sums[level] > threshold if level < power else np.zeros_like(now)
+        nx, ny = np.nonzero(now & ~high & (here[level] > 0))
+        found.append((level, nx, ny, sums[level][nx, ny]))
+        now = np.repeat(np.repeat(now & high, 2, 0), 2, 1)
+    return found
+
+
+def adaptive_grids(panel: Panel, grid: Grid, threshold: float) -> DataFrame:
+    """time, feature, level, nx, ny, value of each time's adaptive grid."""
+    time_key, features, power = panel.time, panel.features, grid.power
+    unit = F.col(panel.unit)
+
+    def cover(rows: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for f in features:
+            for level, nx, ny, value in adaptive_nodes(rows["x"].to_numpy(), rows["y"].to_numpy(), rows[f].to_numpy(float), power, threshold):
+                out.append(pd.DataFrame({time_key: rows[time_key].iloc[0], "feature": f, "level": level, "nx": nx, "ny": ny, "value": value}))
+        return pd.concat(out)
+
+    kind = panel.df.schema[panel.time].dataType.simpleString()
+    cells = panel.df.select(panel.time, grid.x(unit).alias("x"), grid.y(unit).alias("y"), *features)
+    return cells.groupBy(panel.time).applyInPandas(cover, f"`{panel.time}` {kind}, feature string, level int, nx int, ny int, value double")
 
 
 def _weight_table(panel: Panel, grid: Grid, weight: Callable[[Column], Column], half: float) -> np.ndarray:
@@ -154,7 +188,7 @@ def adaptive_grid_lag(
     Nodes of one level stand on a regular lattice, so a level's sum is a convolution and all levels are summed
     in the frequency domain: a time's cost is that of a few transforms of its map, whatever its number of
     nodes.  A task holds one time's map of at most 1024 x 1024 cells; weights, two tables of that size, are sent
-    to all tasks.  The plan shuffles cells and nodes once, by time, and joins nothing.
+    to all tasks.  The plan shuffles the cells once, by time, and joins nothing but the result to its rows.
     """
     if split_criterion != "min":
         raise ValueError(f"split_criterion is 'min', not {split_criterion!r}")
@@ -165,32 +199,27 @@ def adaptive_grid_lag(
     grid = Grid.of(panel)
     n, power, time_key, unit_key, features = grid.ncells, grid.power, panel.time, panel.unit, panel.features
     tables = panel.df.sparkSession.sparkContext.broadcast([_weight_table(panel, grid, weight, half) for half in (0.0, 0.5)])
-    grids = [adaptive_grids(panel, grid, threshold, f).select(panel.time, F.lit(f).alias("feature"), "level", "nx", "ny", "value") for f in panel.features]
-    nodes = cut_lineage(reduce(DataFrame.union, grids))
     unit = F.col(panel.unit)
-    cells = panel.df.select(panel.time, unit, grid.x(unit).alias("x"), grid.y(unit).alias("y"), F.lit(None).cast("string").alias("feature"), F.lit(None).cast("int").alias("level"), F.lit(None).cast("double").alias("value"))
-    both = cells.union(nodes.select(panel.time, F.lit(None).cast(panel.df.schema[panel.unit].dataType), "nx", "ny", "feature", F.col("level").cast("int"), "value"))
     spectra: dict[int, np.ndarray] = {}
 
     def solve(rows: pd.DataFrame) -> pd.DataFrame:
-        is_cell = rows["level"].isna().to_numpy()
-        at = rows[is_cell]
-        out = at[[time_key, unit_key]].copy()
-        out[unit_key] = out[unit_key].astype("int64")
+        x, y = rows["x"].to_numpy(), rows["y"].to_numpy()
+        out = rows[[time_key, unit_key]].copy()
         for f in features:
-            own = rows[(rows["feature"] == f).to_numpy()]
             total = np.zeros((2 * n, n + 1), complex)
-            for level, x, y, value in ((k, g["x"].to_numpy(), g["y"].to_numpy(), g["value"].to_numpy()) for k, g in own.groupby("level")):
-                h = 2 ** (power - int(level))
+            for level, nx, ny, value in adaptive_nodes(x, y, rows[f].to_numpy(float), power, threshold):
+                if not value.any():
+                    continue
+                h = 2 ** (power - level)
                 if h not in spectra:
                     spectra[h] = level_kernel(tables.value[0 if h == 1 else 1], h, n)
                 source = np.zeros((2 * n, 2 * n))
-                source[x * h, y * h] = value
+                source[nx * h, ny * h] = value
                 total += np.fft.rfft2(source) * spectra[h]
-            lag = np.fft.irfft2(total, (2 * n, 2 * n))[at["x"].to_numpy(), at["y"].to_numpy()]
-            out[f] = lag
+            out[f] = np.fft.irfft2(total, (2 * n, 2 * n))[x, y]
         return out
 
     schema = ", ".join(f"`{c}` {panel.df.schema[c].dataType.simpleString()}" for c in (panel.time, panel.unit)) + "".join(f", `{f}` double" for f in features)
-    out = onto(panel, both.groupBy(panel.time).applyInPandas(solve, schema))
-    return (out, nodes) if keep_grids else out
+    cells = panel.df.select(panel.time, unit, grid.x(unit).alias("x"), grid.y(unit).alias("y"), *features)
+    out = onto(panel, cells.groupBy(panel.time).applyInPandas(solve, schema))
+    return (out, adaptive_grids(panel, grid, threshold)) if keep_grids else out
