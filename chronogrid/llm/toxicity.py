@@ -11,7 +11,7 @@ is what the discount D takes from the counts that follow v, or from all p_c.  p(
 the Kneser-Ney continuation count over ALL documents: how many different words precede w.  A word or history
 too rare in a class thus falls back to the same counts for both.  D is above the usual 0.75, so that an
 expression needs more than D sightings in a class before it speaks: at 0.75 the words seen once drown the rest
-(on the sf0.1 tables 27 of 120 held-out toxic documents were found with 56 false ones, at 3 it is 113 and 1).
+(on the sf0.1 tables 27 of 120 held-out toxic documents were found with 56 false ones, at 3 it is 113 and 3).
 Words (A-Z lower-cased, without ASCII punctuation) are known by 64-bit hashes; the vocabulary is that of the
 labelled sample, and every other word is one word of its own.
 
@@ -37,13 +37,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import bounded_batches, broadcast_if_small, held_out, materialize
 from .text import Slice, normalised_slices
 
-DISCOUNT, CLASS_CHARS, CALIBRATION_ROWS, THRESHOLD, STRONGEST = 3.0, 12_000_000, 20_000, 0.3, 3
+DISCOUNT, CLASS_CHARS, CALIBRATION_ROWS, THRESHOLD, STRONGEST = 3.0, 4_000_000, 20_000, 0.3, 3
 #: Word numbers: any word outside the vocabulary, the place before a text, and the first word of the vocabulary.
 OTHER, START, FIRST = 0, 1, 2
 _ID_BITS, _CLIP, _FEATURES, _PENDING = 24, 6.0, 6, 2_000_000
@@ -73,11 +74,11 @@ class Class:
     """Counts of one class: n of the model's pairs; the other arrays are by word number."""
 
     def __init__(self, n: np.ndarray, word: np.ndarray, earlier: np.ndarray, size: int, discount: float) -> None:
-        by = lambda at, x: np.bincount(at, x, size)
-        self.n, self.history, self.preceding = n, by(earlier, n), by(word, n > 0)
+        by = lambda at, x: np.bincount(at, x, size).astype(np.float32)
+        self.n, self.history, self.preceding = n.astype(np.int32), by(earlier, n), by(word, n > 0)
         self.taken = by(earlier, np.minimum(n, discount))
-        self.pairs = float(self.preceding.sum())
-        self.word_taken = float(np.minimum(self.preceding, discount).sum())
+        self.pairs = float(self.preceding.sum(dtype=float))
+        self.word_taken = float(np.minimum(self.preceding, discount).sum(dtype=float))
 
 
 @dataclass
@@ -101,7 +102,7 @@ class Model:
         key = w << _ID_BITS | v
         order = np.argsort(key)
         size = len(vocabulary) + FIRST
-        classes = tuple(Class(n[order].astype(float), w[order], v[order], size, discount) for n in (ordinary, toxic))
+        classes = tuple(Class(n[order], w[order], v[order], size, discount) for n in (ordinary, toxic))
         return cls(vocabulary, key[order], classes, np.ones(size), discount)
 
     def places(self, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -114,8 +115,9 @@ class Model:
         base = (self.shared[word] + 0.5) / (self.shared.sum() + len(self.shared) / 2)
         out = []
         for c, k in enumerate(self.classes):
-            n, history, taken = np.where(known, k.n[at] if len(k.n) else 0.0, 0.0), k.history[earlier], k.taken[earlier]
-            preceding, pairs, word_taken = k.preceding[word], np.full(len(word), k.pairs), np.full(len(word), k.word_taken)
+            n = np.where(known, k.n[at] if len(k.n) else 0.0, 0.0)
+            history, taken, preceding = (x.astype(float) for x in (k.history[earlier], k.taken[earlier], k.preceding[word]))
+            pairs, word_taken = np.full(len(word), k.pairs), np.full(len(word), k.word_taken)
             if own is not None:
                 n, history, taken, preceding, pairs, word_taken = (x - y * (own.label == c) for x, y in zip((n, history, taken, preceding, pairs, word_taken), own.counts, strict=True))
             with np.errstate(divide="ignore", invalid="ignore"):
@@ -157,7 +159,7 @@ class Own:
 
         less = lambda x, y: np.minimum(x, model.discount) - np.minimum(y, model.discount)
         zero = np.zeros(len(d), np.int64)
-        fewer, had = over(w, gone), pick(lambda k: k.preceding[w])
+        fewer, had = over(w, gone), pick(lambda k: k.preceding[w]).astype(float)
         # a word counts once a document, whatever its number of pairs there
         once = np.r_[True, (d[1:] != d[:-1]) | (w[1:] != w[:-1])].astype(float) if len(d) else gone
         self.counts = [x[pair] for x in (times, over(v, times), over(v, less(whole, rest)), fewer, over(zero, gone), over(zero, once * less(had, had - fewer)))]
@@ -223,9 +225,8 @@ def _features(s: Slice, ratios: tuple[np.ndarray, np.ndarray], strongest: int =
     return np.stack([total(alone) / n, total(alone) / np.sqrt(n), top(alone), np.log(n), total(after) / n, top(after - alone)], 1)
 
 
-def own_left_out(sample: DataFrame, model: Model) -> DataFrame:
-    """toxic and the features of rows of the sample, each scored without its own counts."""
-    sent = sample.sparkSession.sparkContext.broadcast(model)
+def own_left_out(sample: DataFrame, sent: Broadcast) -> DataFrame:
+    """toxic and the features of rows of the sample, each scored by the model without its own counts."""
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -254,9 +255,8 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, steps: int =
     return w
 
 
-def score_texts(docs: DataFrame, model: Model, weights: np.ndarray | None) -> DataFrame:
-    """doc_id and score of every row; no shuffle."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+def score_texts(docs: DataFrame, sent: Broadcast, weights: np.ndarray | None) -> DataFrame:
+    """doc_id and score of every row by the model and the curve's weights; no shuffle."""
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -288,10 +288,11 @@ def toxicity(docs: DataFrame, labels: DataFrame, discount: float = DISCOUNT, cla
     rows = materialize(texts.join(broadcast_if_small(sampled), "doc_id"), "sample-texts")
     model = class_counts(rows, discount)
     model.shared = shared_counts(texts, model.vocabulary)
+    sent = docs.sparkSession.sparkContext.broadcast(model)
     # the calibration rows: at most so many, with the smallest hashes of their ids
     ids = materialize(sampled.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(calibration_rows), "calibration")
-    found = own_left_out(rows.join(broadcast_if_small(ids), "doc_id"), model).toArrow().to_pandas()
+    found = own_left_out(rows.join(broadcast_if_small(ids), "doc_id"), sent).toArrow().to_pandas()
     both = found.toxic.nunique() == 2
     weights = fit_logistic(found[[f"f{k}" for k in range(_FEATURES)]].to_numpy(), found.toxic.to_numpy(float)) if both else None
-    out = score_texts(docs, model, weights)
+    out = score_texts(docs, sent, weights)
     return out.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
