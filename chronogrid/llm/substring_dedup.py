@@ -5,18 +5,19 @@
    anchor the corpus counts its occurrences and the smallest and largest hash of its context (the windows it
    serves).  Counted once: no repeat.  One context only: all its windows repeat.  Otherwise it is mixed.
 2. Confirmation.  Windows of mixed anchors are counted by their own hashes; those found twice are confirmed.
-3. Location.  Each document's confirmed windows merge into maximal passages.  The passages of a shard (a
-   slice of documents) are compiled into an Aho-Corasick automaton over word numbers, all documents of the
-   shard that hold one are streamed through it, and the words of every occurrence are removed.
-
-The automata follow the documents: sending all documents through the automata of all passages would cost the
-product of both.  As a document's own windows were looked up before, its automaton finds again what they tell;
-the rows are those of the hash lookup.
-
-What is known of anchors and windows reaches the documents in one of two ways: as sorted arrays sent to all
-tasks while at most `broadcast_entries` (a checked count), else by shuffled joins on the hash and then on
-the document.  Counts are summed before they are shuffled, and large partitions of the joins can be split,
-so a passage in a third of all documents is no hot spot.
+3. Passages.  A document's confirmed windows merge into maximal passages; the corpus's distinct passages are a
+   table, cut into shards by the anchor of a passage's first window, of about `shard_words` words each.
+4. Location.  A shard's passages are compiled into one Aho-Corasick automaton over word numbers, and every
+   document that has a passage's first anchor is streamed through it.  All occurrences of all passages of the
+   shard are located by the automaton alone, and their words are removed.  (A document without such an anchor
+   cannot hold the passage, so it need not be streamed: all documents through all shards would cost the
+   product of both.)  A shard that many documents need is dealt to several tasks of about `task_words` words of
+   documents, each with the same automaton, so a passage in a third of all documents is no hot spot.
+
+Passages reach their shard before its documents, by sorting within the task: a task holds one automaton and one
+slice of documents.  What is known of anchors and windows reaches the documents as sorted arrays sent to all
+tasks while at most `broadcast_entries` (a checked count), else by shuffled joins on the hash and then on the
+document.  Counts are summed before they are shuffled, and large partitions of the joins can be split.
 
 Defined results: null text has no words, n_removed 0 and the digest of the empty text; texts shorter than a
 window keep all words; equal rows and overlapping repeats in one document count as occurrences; rows are
@@ -36,10 +37,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, materialize
+from .common import bounded_batches, broadcast_if_small, materialize
 from .text import SLICE_BYTES, Slice, mix, slices, window_docs, window_hash
 
 WINDOW, GRAM, BROADCAST_ENTRIES = 35, 8, 4_000_000
+SHARD_WORDS, TASK_WORDS = 1_000_000, 2_000_000
 
 
 class Windows:
@@ -141,12 +143,11 @@ class Repeats:
         return docs.mapInArrow(run, "h long, n int")
 
     def joined(self) -> DataFrame:
-        """The other way: doc_id, text and the row's repeated windows as `wins` (array of long), by joins.
+        """The other way: k1, k2, doc_id, text and the row's repeated windows as `wins` (array of long), by joins.
 
         A row is known by its id and the hash of its text; equal rows have equal windows.
         """
-        key = ["k1", "k2"]
-        docs = self.docs.withColumns({"k1": F.coalesce("doc_id", F.lit(0)), "k2": F.xxhash64("text", F.col("doc_id").isNull())})
+        key, docs = _KEY, self.docs
 
         def served(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -163,87 +164,183 @@ class Repeats:
         twice = mixed.groupBy("w").agg(F.count("*").alias("n")).where("n > 1").select("w")
         sure = hits.where("flag = 1").select(*key, F.explode("wins").alias("w"))
         repeated = sure.union(mixed.join(twice, "w").select(*key, "w")).groupBy(*key).agg(F.collect_set("w").alias("wins"))
-        return docs.join(repeated, key, "left").select("doc_id", "text", "wins")
+        return docs.join(repeated, key, "left").select(*key, "doc_id", "text", "wins")
+
+
+#: A row is known by its id and the hash of its text; equal rows have equal windows.
+_KEY = ["k1", "k2"]
 
 
-def passages(s: Slice, w: Windows, repeated: np.ndarray) -> list[tuple[int, int, int]]:
-    """(document, first word, end) of the maximal passages of repeated windows, words counted in the slice."""
-    at, doc = w.start[repeated], w.doc[repeated]
+def keyed(docs: DataFrame) -> DataFrame:
+    return docs.withColumns({"k1": F.coalesce("doc_id", F.lit(0)), "k2": F.xxhash64("text", F.col("doc_id").isNull())})
+
+
+def passages(s: Slice, w: Windows, repeated: np.ndarray) -> list[tuple[int, int, int, int]]:
+    """(document, first word, end, anchor of the first window) of the maximal passages of repeated windows."""
+    index = np.flatnonzero(repeated)
+    at, doc = w.start[index], w.doc[index]
     if not len(at):
         return []
     split = np.flatnonzero((at[1:] != at[:-1] + 1) | (doc[1:] != doc[:-1])) + 1
     begin, end = np.r_[0, split], np.r_[split, len(at)] - 1
-    return list(zip(doc[begin].tolist(), at[begin].tolist(), (at[end] + w.window).tolist(), strict=True))
+    anchor = w.anchor[w.run[index[begin]]].view(np.int64)
+    return list(zip(doc[begin].tolist(), at[begin].tolist(), (at[end] + w.window).tolist(), anchor.tolist(), strict=True))
 
 
-#: Characters that stand for words: below the surrogates, one a word, or two where there are more words.
-_CODES = 0xD000
+def _own_passages(batch: pa.RecordBatch, sent) -> Iterator[tuple[Slice, list[tuple[int, int, int, int]]]]:
+    """The passages of each slice of a batch, by the tables sent or by the rows' own windows."""
+    for s in slices(batch.column("text"), SLICE_BYTES):
+        w = Windows(s)
+        if not len(w.start):
+            repeated = np.zeros(0, bool)
+        elif sent is not None:
+            flag = sent.value[0].flag(w.anchor)[w.run]
+            repeated = (flag == 1) | ((flag == 2) & (sent.value[1].flag(w.hash) == 1))
+        else:
+            own = [x.values.to_numpy() for x in batch.column("wins")[s.lo : s.hi] if x.is_valid]
+            own = np.concatenate(own).view(np.uint64) if own else np.empty(0, np.uint64)
+            repeated = Known(own, np.ones(len(own), np.int8)).flag(w.hash) == 1
+        yield s, passages(s, w, repeated)
+
+
+def _passage_rows(sent):
+    """anchor, passage, n (its words) and served (words of the documents that have it), each passage once a batch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found: dict[bytes, list[int]] = {}
+            for s, own in _own_passages(batch, sent):
+                for d, a, b, anchor in own:
+                    text = b" ".join(s.data[s.starts[a] : s.ends[b - 1]].tobytes().split())
+                    row = found.setdefault(text, [anchor, b - a, 0])
+                    row[2] += int(s.counts[d])
+            columns = list(zip(*found.values(), strict=True)) if found else [[]] * 3
+            yield pa.RecordBatch.from_arrays([pa.array([x.decode("utf-8", "replace") for x in found], pa.string()), *(pa.array(c, pa.int64()) for c in columns)], names=["passage", "anchor", "n", "served"])
+
+    return run
 
 
-def _characters(numbers: np.ndarray, width: int) -> np.ndarray:
-    return (np.stack([numbers // _CODES, numbers % _CODES], 1) if width == 2 else numbers).astype("<u4")
+def _routes(sent, shards: int):
+    """k1, k2, shard and text: a row for each shard that has a passage of the document."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pairs = sorted({(s.lo + d, anchor % shards) for s, own in _own_passages(batch, sent) for d, _, _, anchor in own})
+            rows = batch.select([*_KEY, "text"]).take(pa.array([d for d, _ in pairs], pa.int64()))
+            yield rows.append_column("shard", pa.array([k for _, k in pairs], pa.int64()))
 
-def locate(s: Slice, found: list[tuple[int, int, int]], words: np.ndarray) -> np.ndarray:
-    """Which words of the slice an occurrence of a passage covers, by an automaton over the passages' words."""
-    covered = np.zeros(len(words) + 1, np.int32)
-    if found:
-        alphabet = np.unique(np.concatenate([words[a:b] for _, a, b in found]))
-        width = 1 if len(alphabet) < _CODES else 2
-        automaton = ahocorasick.Automaton()
+    return run
 
-        def text(a: int, b: int) -> str:
-            at = np.minimum(np.searchsorted(alphabet, words[a:b]), len(alphabet) - 1)
-            # 0 is every word that no passage has
-            return _characters(np.where(alphabet[at] == words[a:b], at + 1, 0), width).tobytes().decode("utf-32-le")
 
-        for _, a, b in found:
-            automaton.add_word(text(a, b), b - a)
-        automaton.make_automaton()
-        for d in sorted({d for d, _, _ in found}):
-            base = int(s.first[d])
-            for end, length in automaton.iter(text(base, int(s.first[d + 1]))):
-                if (end + 1) % width == 0:  # else between the characters of a word
-                    covered[base + (end + 1) // width - length] += 1
-                    covered[base + (end + 1) // width] -= 1
-    return np.cumsum(covered[:-1]) > 0
+#: Characters that stand for words: below the surrogates, one a word, or two where there are more words.
+_CODES = 0xD000
+
+
+class Phrases:
+    """An Aho-Corasick automaton over the numbers of the words of some passages."""
+
+    def __init__(self, texts: pa.Array) -> None:
+        hashes = [(s, s.hashes()) for s in slices(texts)]
+        self.alphabet = np.unique(np.concatenate([np.empty(0, np.uint64), *(h for _, h in hashes)]))
+        self.width = 1 if len(self.alphabet) < _CODES else 2
+        self.automaton = ahocorasick.Automaton()
+        for s, h in hashes:
+            for a, b in zip(s.first[:-1].tolist(), s.first[1:].tolist(), strict=True):
+                self.automaton.add_word(self._text(h[a:b]), b - a)
+        self.automaton.make_automaton()
+
+    def _text(self, words: np.ndarray) -> str:
+        at = np.minimum(np.searchsorted(self.alphabet, words), len(self.alphabet) - 1)
+        number = np.where(self.alphabet[at] == words, at + 1, 0)  # 0 is every word that no passage has
+        return (np.stack([number // _CODES, number % _CODES], 1) if self.width == 2 else number).astype("<u4").tobytes().decode("utf-32-le")
+
+    def cover(self, words: np.ndarray) -> np.ndarray:
+        """Which words an occurrence of a passage covers."""
+        edge = np.zeros(len(words) + 1, np.int32)
+        for end, length in self.automaton.iter(self._text(words)):
+            if (end + 1) % self.width == 0:  # else between the characters of a word
+                edge[(end + 1) // self.width - length] += 1
+                edge[(end + 1) // self.width] -= 1
+        return np.cumsum(edge[:-1]) > 0
+
+
+def _locate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """k1, k2 and the first and the end of each covered stretch; a shard's passages come before its documents."""
+    key, pending, phrases = None, [], None
+    for batch in batches:
+        shard, salt, is_doc = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("shard", "salt", "is_doc"))
+        cuts = np.flatnonzero((np.diff(shard) != 0) | (np.diff(salt) != 0) | (np.diff(is_doc.astype(np.int8)) != 0)) + 1
+        out: list[tuple[int, int, int, int]] = []
+        for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows], strict=True):
+            if lo == hi:
+                continue
+            if (shard[lo], salt[lo]) != key:
+                key, pending, phrases = (shard[lo], salt[lo]), [], None
+            text = batch.column("text").slice(lo, hi - lo)
+            if not is_doc[lo]:
+                pending.append(text)
+                continue
+            if phrases is None:
+                phrases, pending = Phrases(pa.concat_arrays(pending)), []
+            k1, k2 = (batch.column(c).slice(lo, hi - lo).to_numpy() for c in _KEY)
+            for s in slices(text):
+                h = s.hashes()
+                for d in range(s.hi - s.lo):
+                    covered = np.r_[False, phrases.cover(h[s.first[d] : s.first[d + 1]]), False]
+                    turn = np.flatnonzero(covered[1:] != covered[:-1])
+                    out += [(k1[s.lo + d], k2[s.lo + d], a, b) for a, b in zip(turn[::2].tolist(), turn[1::2].tolist(), strict=True)]
+        columns = list(zip(*out, strict=True)) if out else [[]] * 4
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=[*_KEY, "first", "end"])
 
 
-def remove_repeats(docs: DataFrame, broadcast_entries: int = BROADCAST_ENTRIES) -> DataFrame:
+def _without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows' words without those of the stretches in `gone` (first, end, first, end and so on)."""
+    for batch in batches:
+        n_words, n_removed, kept = [], [], []
+        gone = batch.column("gone")
+        for s in slices(batch.column("text")):
+            for d in range(s.hi - s.lo):
+                words, n = s.words(d), int(s.counts[d])
+                own = gone[s.lo + d]
+                n_words.append(n)
+                if own.is_valid:
+                    flat = own.values.to_numpy()
+                    edge = np.zeros(n + 1, np.int32)
+                    np.add.at(edge, flat[::2], 1)
+                    np.add.at(edge, flat[1::2], -1)
+                    stays = np.cumsum(edge[:-1]) == 0
+                    words = [x for x, y in zip(words, stays.tolist(), strict=True) if y]
+                n_removed.append(n - len(words))
+                kept.append(b" ".join(words).decode("utf-8", "replace"))
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string())], names=["doc_id", "n_words", "n_removed", "kept"])
+
+
+def located(source: DataFrame, sent, shard_words: int = SHARD_WORDS, task_words: int = TASK_WORDS) -> DataFrame:
+    """k1, k2, first and end: the stretches of words that passages cover."""
+    rows = source.mapInArrow(_passage_rows(sent), "passage string, anchor long, n long, served long")
+    table = materialize(rows.groupBy(F.xxhash64("passage").alias("h"), "anchor", "n").agg(F.any_value("passage").alias("passage"), F.sum("served").alias("served")), "passages")
+    shards = 1 + (table.agg(F.sum("n")).first()[0] or 0) // shard_words
+    table = table.withColumn("shard", F.pmod("anchor", F.lit(shards)))
+    tasks = broadcast_if_small(materialize(table.groupBy("shard").agg((1 + F.floor(F.sum("served") / task_words)).alias("tasks")), "shards"))
+    patterns = table.join(tasks, "shard").select("shard", F.explode(F.expr("sequence(0, tasks - 1)")).alias("salt"), F.lit(False).alias("is_doc"), F.lit(0).cast("long").alias("k1"), F.lit(0).cast("long").alias("k2"), F.col("passage").alias("text"))
+    routed = source.mapInArrow(_routes(sent, shards), "k1 long, k2 long, text string, shard long").join(tasks, "shard")
+    routed = routed.select("shard", F.pmod(F.xxhash64(*_KEY), F.col("tasks")).alias("salt"), F.lit(True).alias("is_doc"), *_KEY, "text")
+    count = tasks.agg(F.sum("tasks")).first()[0] or 1
+    dealt = patterns.union(routed).repartition(int(count), "shard", "salt").sortWithinPartitions("shard", "salt", "is_doc")
+    return dealt.mapInArrow(_locate, "k1 long, k2 long, first long, end long")
+
+
+def remove_repeats(docs: DataFrame, broadcast_entries: int = BROADCAST_ENTRIES, shard_words: int = SHARD_WORDS, task_words: int = TASK_WORDS) -> DataFrame:
     """doc_id, n_words, n_removed and kept (the words left, joined by one space) of every row."""
     bounded_batches(docs.sparkSession)
-    docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    docs = keyed(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")))
     search = Repeats(docs, broadcast_entries)
     anchors, windows = search.confirmed()
     sent = docs.sparkSession.sparkContext.broadcast((anchors, windows)) if windows is not None else None
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n_words, n_removed, kept = [np.empty(0, np.int64)], [np.empty(0, np.int64)], []
-            for s in slices(batch.column("text"), SLICE_BYTES):
-                w = Windows(s)
-                if not len(w.start):
-                    repeated = np.zeros(0, bool)
-                elif sent is not None:
-                    flag = sent.value[0].flag(w.anchor)[w.run]
-                    repeated = (flag == 1) | ((flag == 2) & (sent.value[1].flag(w.hash) == 1))
-                else:
-                    own = [x.values.to_numpy() for x in batch.column("wins")[s.lo : s.hi] if x.is_valid]
-                    own = np.concatenate(own).view(np.uint64) if own else np.empty(0, np.uint64)
-                    repeated = Known(own, np.ones(len(own), np.int8)).flag(w.hash) == 1
-                gone = locate(s, passages(s, w, repeated), s.hashes())
-                total = np.r_[0, np.cumsum(gone)]
-                n_words.append(s.counts)
-                n_removed.append(total[s.first[1:]] - total[s.first[:-1]])
-                for d in range(s.hi - s.lo):
-                    words = s.words(d)
-                    if n_removed[-1][d]:
-                        words = [x for x, y in zip(words, gone[s.first[d] : s.first[d + 1]].tolist(), strict=True) if not y]
-                    kept.append(b" ".join(words).decode("utf-8", "replace"))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.concatenate(n_words).astype(np.int64)), pa.array(np.concatenate(n_removed).astype(np.int64)), pa.array(kept, pa.string())], names=["doc_id", "n_words", "n_removed", "kept"])
-
-    source = docs if sent is not None else search.joined()
-    return source.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept string")
+    source = docs if sent is not None else materialize(search.joined(), "windows-of-rows")
+    found = located(source, sent, shard_words, task_words)
+    gone = materialize(found.groupBy(*_KEY).agg(F.flatten(F.collect_list(F.array("first", "end"))).alias("gone")), "stretches")
+    return docs.join(gone, _KEY, "left").select("doc_id", "text", "gone").mapInArrow(_without, "doc_id long, n_words long, n_removed long, kept string")
 
 
 def oracle_sql(window: int = WINDOW) -> str:

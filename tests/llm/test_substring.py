@@ -61,14 +61,33 @@ def test_empty(spark):
     assert [(r.doc_id, r.n_words, r.n_removed, r.kept) for r in got] == [(None, 0, 0, "")]
 
 
+def test_small_shards_and_tasks(spark):
+    data = docs(3)
+    got = S.remove_repeats(corpus.frame(spark, data), shard_words=60, task_words=100).collect()
+    assert sorted(((r.doc_id, r.n_words, r.n_removed, r.kept) for r in got), key=str) == brute(data)
+
+
+def test_only_automata_locate(spark):
+    """What is removed is what the automata cover: with other patterns other words go."""
+    passage, other = [f"p{i}" for i in range(40)], [f"q{i}" for i in range(36)]
+    phrases = S.Phrases(pa.array([" ".join(passage), " ".join(other)]))
+    words = ["x", *passage, "y", *other, *passage[:39], *other]
+    s = next(S.slices(pa.array([" ".join(words)])))
+    want = [False, *[True] * 40, False, *[True] * 36, *[False] * 39, *[True] * 36]
+    assert phrases.cover(s.hashes()).tolist() == want
+    rows = [(0, 0, False, 0, 0, " ".join(passage)), (0, 0, True, 5, 6, " ".join(words)), (0, 1, False, 0, 0, " ".join(other)), (0, 1, True, 7, 8, " ".join(words))]
+    batch = pa.RecordBatch.from_pylist([dict(zip(("shard", "salt", "is_doc", "k1", "k2", "text"), r, strict=True)) for r in rows])
+    got = [tuple(r.values()) for b in S._locate(iter([batch.slice(0, 3), batch.slice(3)])) for r in b.to_pylist()]
+    assert got == [(5, 6, 1, 41), (7, 8, 42, 78), (7, 8, 117, 153)]
+
+
 def test_many_different_words():
     """More words than there are characters, in one long text with a passage that repeats."""
     n = 1_200_000
-    rng = np.random.default_rng(1)
     passage = [f"p{i}" for i in range(50)]
-    words = [f"x{i}" for i in rng.permutation(n)]
+    words = [f"x{i}" for i in range(n)]
     s = next(S.slices(pa.array([" ".join(words[: n // 2] + passage + words[n // 2 :] + passage)])))
-    h = s.hashes()
-    gone = S.locate(s, [(0, n // 2, n // 2 + 50)], h)
-    assert np.flatnonzero(gone).tolist() == [*range(n // 2, n // 2 + 50), *range(n + 50, n + 100)]
-    assert np.flatnonzero(S.locate(s, [(0, 10, 100_010), (0, n // 2, n // 2 + 50)], h)).tolist() == [*range(10, 100_010), *range(n // 2, n // 2 + 50), *range(n + 50, n + 100)]
+    twice = [*range(n // 2, n // 2 + 50), *range(n + 50, n + 100)]
+    assert np.flatnonzero(S.Phrases(pa.array([" ".join(passage)])).cover(s.hashes())).tolist() == twice
+    both = S.Phrases(pa.array([" ".join(words[10:100_010]), " ".join(passage)]))
+    assert both.width == 2 and np.flatnonzero(both.cover(s.hashes())).tolist() == [*range(10, 100_010), *twice]
