@@ -33,7 +33,7 @@ from .common import bounded_batches, broadcast_if_small, materialize
 from .text import mix, slices
 
 WEIGHTS, SHARE, CAP = (3, 1, 2), Fraction(3, 2), 2
-BLOCK_WORDS, SHARD_BLOCKS, BUCKET_ROWS, TOLERANCE, SEED = 64, 8192, 20_000, 0.005, 17
+BLOCK_WORDS, SHARD_BLOCKS, BUCKET_ROWS, TOLERANCE, SEED = 64, 8192, 2_000, 0.005, 17
 
 
 def targets(sizes: Sequence[int], weights: Sequence[int] = WEIGHTS, share: Fraction = SHARE, cap: int = CAP) -> list[float]:
