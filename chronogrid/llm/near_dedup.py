@@ -160,11 +160,12 @@ def shared_buckets(reps: DataFrame) -> DataFrame:
     text (the smallest id of equals), the likeliest to be similar to the rest.
     """
     spread = reps.select("rep", "n", F.posexplode("keys").alias("k", "key")).select("rep", "n", F.xxhash64("k", "key").alias("bucket"))
-    sizes = spread.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
+    # tables that joins read are written before: then large partitions of either side can be split
+    sizes = materialize(spread.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1"), "sizes")
     # a text has SKETCHES keys, so this list is short
     weighed = spread.join(sizes, "bucket").groupBy("rep", "n").agg(F.sum("size").alias("weight"), F.collect_set("bucket").alias("own"))
     members = materialize(weighed, "weighed").select("rep", "n", "weight", F.explode("own").alias("bucket"))
-    leads = members.groupBy("bucket").agg(F.max(F.struct("weight", (-F.col("rep")).alias("rep"), "n")).alias("lead"))
+    leads = materialize(members.groupBy("bucket").agg(F.max(F.struct("weight", (-F.col("rep")).alias("rep"), "n")).alias("lead")), "leads")
     return materialize(members.join(leads, "bucket").select("rep", "n", "weight", "bucket", (-F.col("lead.rep")).alias("lead"), F.col("lead.n").alias("lead_n")), "members")
 
 
@@ -189,15 +190,17 @@ def _unsettled(members: DataFrame, links: DataFrame, compared: int) -> DataFrame
     classes = connected_components(links.select("a", "b")).withColumnRenamed("node", "rep")
     named = members.join(classes, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     several = named.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size")).where((F.col("lo") < F.col("hi")) & (F.col("size") > compared + 1)).select("bucket")
+    several = broadcast_if_small(materialize(several, "several"))
     out = materialize(named.join(several, "bucket"), "unsettled")
     return out if out.limit(1).count() else None
 
 
 def _second_lead_pairs(unsettled: DataFrame, similarity: float) -> DataFrame:
     """Each bucket's heaviest member outside the lead's class, with the members outside its own class."""
-    led = unsettled.where("rep = lead").select("bucket", F.col("component").alias("lead_component")).distinct()
+    led = broadcast_if_small(materialize(unsettled.where("rep = lead").select("bucket", F.col("component").alias("lead_component")).distinct(), "led"))
     others = unsettled.where("rep <> lead").join(led, "bucket")
     best = others.where("component <> lead_component").groupBy("bucket").agg(F.max(F.struct("weight", (-F.col("rep")).alias("rep"), "n", "component")).alias("e"))
+    best = broadcast_if_small(materialize(best, "best"))
     met = others.join(best, "bucket").where((F.col("component") != F.col("e.component")) & _fits(F.col("n"), F.col("e.n"), similarity))
     return met.select("rep", (-F.col("e.rep")).alias("second")).select(*_pair("rep", "second")).distinct()
 
