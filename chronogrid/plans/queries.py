@@ -64,8 +64,9 @@ def _daily(fn: Callable[[Panel], Panel], *features: str) -> Query:
 
 
 def _tick(spark: SparkSession, d: str) -> DataFrame:
+    """The step to the table's last time."""
     p = derived.daily(spark, d, "v", "n").filled()
-    p = p.with_df(p.df.where("time between 20 and 21").select("time", "unit", F.when(F.col("v") > EVENT, 1.0).otherwise(0.0).alias("e"), F.col("n").alias("s")), ["e", "s"])
+    p = p.with_df(p.df.where(F.col("time").isin(p.times()[-2:])).select("time", "unit", F.when(F.col("v") > EVENT, 1.0).otherwise(0.0).alias("e"), F.col("n").alias("s")), ["e", "s"])
     out = runs.tick_time_since(p, "e", "s")
     return out.df.select("time", "unit", "s")
 
@@ -306,7 +307,7 @@ def oracle_sql() -> dict[str, str]:
         "cweq": cweq(plain, "m"),
         "cweq_seeded": cweq(plain, "case when m = 1 and time = (select min(time) from w) then 3 else m end"),
         "time_since": cweq(lagged, "m"),
-        "tick_time_since": f"with {_P}, w as (select time, unit, coalesce(v, 0.0) as v, coalesce(n, 0.0) as n from p) select b.time, b.unit, case when a.v > {EVENT} then 0.0::double else a.n + 1 end as s from w a join w b on a.unit = b.unit and a.time = 20 and b.time = 21",
+        "tick_time_since": f"with {_P}, w as (select time, unit, coalesce(v, 0.0) as v, coalesce(n, 0.0) as n from p) select b.time, b.unit, case when a.v > {EVENT} then 0.0::double else a.n + 1 end as s from w a join w b on a.unit = b.unit and b.time = (select max(time) from w) and a.time = (select max(time) from w where time < (select max(time) from w))",
         "onset_possible": f"with {_E}, l as (select time, unit, {prev} as x from e) select time, unit, (max(x) {_frame(3)} = 0)::int::bigint as e from l",
         "onset": f"with {_E}, l as (select time, unit, e, {prev} as x from e), m as (select *, max(x) {_frame(3)} as y from l) select time, unit, (y = 0 and (e is null or e <> 0))::int::bigint as e from m",
         "replace_na": _sql(_P, "p", "coalesce(v, -1.0) as v"),
