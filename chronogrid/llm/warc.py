@@ -15,7 +15,8 @@ A file holds at most `records_per_file` pages; a task holds one file, and one re
 
 Defined results: null html is an empty payload; null url is written as an empty target; a null page_id is read
 back as null and is never referred to; equal rows become records of their own (several with the largest
-page_id are all responses); an empty table gives an empty archive.
+page_id are all responses); a payload of any length is written and read by one task, in segments; an empty table
+gives an empty archive; other columns, clashing names included, are never read.
 """
 
 from __future__ import annotations
