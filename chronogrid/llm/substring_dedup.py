@@ -41,7 +41,7 @@ from .common import bounded_batches, broadcast_if_small, materialize
 from .text import SLICE_BYTES, Slice, mix, slices, window_docs, window_hash
 
 WINDOW, GRAM, BROADCAST_ENTRIES = 35, 8, 4_000_000
-SHARD_WORDS, TASK_WORDS = 1_000_000, 2_000_000
+SHARD_WORDS, TASK_WORDS = 1_000_000, 16_000_000
 
 
 class Windows:
