@@ -11,7 +11,8 @@
    document that has a passage's first anchor is streamed through it.  All occurrences of all passages of the
    shard are located by the automaton alone, and their words are removed.  (A document without such an anchor
    cannot hold the passage, so it need not be streamed: all documents through all shards would cost the
-   product of both.)  A shard that many documents need is dealt to several tasks of about `task_words` words of
+   product of both.  Nor can a stretch of a document that is shorter than the shard's passages or has a
+   `gram`-word sequence that none of them has, so the automaton skips those.)  A shard that many documents need is dealt to several tasks of about `task_words` words of
    documents, each with the same automaton, so a passage in a third of all documents is no hot spot.
 
 Passages reach their shard before its documents, by sorting within the task: a task holds one automaton and one
@@ -195,7 +196,8 @@ def _own_passages(batch: pa.RecordBatch, sent) -> Iterator[tuple[Slice, list[tup
             repeated = np.zeros(0, bool)
         elif sent is not None:
             flag = sent.value[0].flag(w.anchor)[w.run]
-            repeated = (flag == 1) | ((flag == 2) & (sent.value[1].flag(w.hash) == 1))
+            repeated, mixed = flag == 1, np.flatnonzero(flag == 2)
+            repeated[mixed] = sent.value[1].flag(w.hash[mixed]) == 1
         else:
             own = [x.values.to_numpy() for x in batch.column("wins")[s.lo : s.hi] if x.is_valid]
             own = np.concatenate(own).view(np.uint64) if own else np.empty(0, np.uint64)
@@ -236,31 +238,74 @@ def _routes(sent, shards: int):
 _CODES = 0xD000
 
 
+def _runs(mask: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first and the end of each run of true values; runs end with their document."""
+    edge, before, after = np.zeros(len(mask) + 1, bool), np.zeros(len(mask), bool), np.zeros(len(mask), bool)
+    edge[first] = True
+    before[1:], after[:-1] = mask[:-1], mask[1:]
+    return np.flatnonzero(mask & (edge[:-1] | ~before)), np.flatnonzero(mask & (edge[1:] | ~after)) + 1
+
+
 class Phrases:
-    """An Aho-Corasick automaton over the numbers of the words of some passages."""
+    """An Aho-Corasick automaton over the numbers of the words of some passages.
+
+    It reads the stretches of a text that can hold a passage: at least as long as the shortest one, and each
+    `gram`-word sequence in them has the table entry of one that passages have.
+    """
 
-    def __init__(self, texts: pa.Array) -> None:
+    def __init__(self, texts: pa.Array, gram: int = GRAM) -> None:
         hashes = [(s, s.hashes()) for s in slices(texts)]
         self.alphabet = np.unique(np.concatenate([np.empty(0, np.uint64), *(h for _, h in hashes)]))
         self.width = 1 if len(self.alphabet) < _CODES else 2
         self.automaton = ahocorasick.Automaton()
         for s, h in hashes:
             for a, b in zip(s.first[:-1].tolist(), s.first[1:].tolist(), strict=True):
-                self.automaton.add_word(self._text(h[a:b]), b - a)
+                self.automaton.add_word(self._text(self._numbers(h[a:b])), b - a)
         self.automaton.make_automaton()
-
-    def _text(self, words: np.ndarray) -> str:
+        self.shortest = min((int(n) for s, _ in hashes for n in s.counts if n), default=1)
+        self.gram = min(gram, self.shortest)
+        grams = np.concatenate([np.empty(0, np.uint64), *(window_hash(h, self.gram)[window_docs(s.first, self.gram)[0]] for s, h in hashes)])
+        bits = (8 * len(grams) + 1024).bit_length()
+        self.shift = np.uint64(64 - bits)
+        self.seen = np.zeros(1 << bits, bool)
+        self.seen[(grams >> self.shift).astype(np.int64)] = True
+
+    def _numbers(self, words: np.ndarray) -> np.ndarray:
         at = np.minimum(np.searchsorted(self.alphabet, words), len(self.alphabet) - 1)
-        number = np.where(self.alphabet[at] == words, at + 1, 0)  # 0 is every word that no passage has
+        return np.where(self.alphabet[at] == words, at + 1, 0)  # 0 is every word that no passage has
+
+    def _text(self, number: np.ndarray) -> str:
         return (np.stack([number // _CODES, number % _CODES], 1) if self.width == 2 else number).astype("<u4").tobytes().decode("utf-32-le")
 
-    def cover(self, words: np.ndarray) -> np.ndarray:
-        """Which words an occurrence of a passage covers."""
+    def stretches(self, words: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The first word and the end of each stretch that can hold a passage; they may overlap."""
+        start, _ = window_docs(first, self.gram)
+        known = np.zeros(len(words), bool)
+        if len(start):
+            known[start] = self.seen[(window_hash(words, self.gram) >> self.shift).astype(np.int64)][start]
+        begin, end = _runs(known, first)
+        end += self.gram - 1
+        enough = end - begin >= self.shortest
+        return begin[enough], end[enough]
+
+    def cover(self, words: np.ndarray, first: np.ndarray | None = None) -> np.ndarray:
+        """Which words an occurrence of a passage covers; `first`: as in Slice, for words of several documents."""
         edge = np.zeros(len(words) + 1, np.int32)
-        for end, length in self.automaton.iter(self._text(words)):
-            if (end + 1) % self.width == 0:  # else between the characters of a word
-                edge[(end + 1) // self.width - length] += 1
-                edge[(end + 1) // self.width] -= 1
+        begin, end = self.stretches(words, np.array([0, len(words)]) if first is None else first)
+        if not len(begin):
+            return edge[:-1] > 0
+        size = end - begin + 1  # and a word that no passage has
+        total = np.cumsum(size)
+        at = np.arange(total[-1]) - np.repeat(total - size - begin, size)
+        number = self._numbers(words[np.minimum(at, len(words) - 1)])
+        number[total - 1] = 0
+        longest: dict[int, int] = {}
+        for last, length in self.automaton.iter(self._text(number)):
+            if length > longest.get(last, 0) and (last + 1) % self.width == 0:  # else between the characters of a word
+                longest[last] = length
+        stop = at[np.array([*longest], np.int64) // self.width] + 1
+        np.add.at(edge, stop - np.array([*longest.values()], np.int64), 1)
+        np.add.at(edge, stop, -1)
         return np.cumsum(edge[:-1]) > 0
 
 
@@ -284,11 +329,9 @@ def _locate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 phrases, pending = Phrases(pa.concat_arrays(pending)), []
             k1, k2 = (batch.column(c).slice(lo, hi - lo).to_numpy() for c in _KEY)
             for s in slices(text):
-                h = s.hashes()
-                for d in range(s.hi - s.lo):
-                    covered = np.r_[False, phrases.cover(h[s.first[d] : s.first[d + 1]]), False]
-                    turn = np.flatnonzero(covered[1:] != covered[:-1])
-                    out += [(k1[s.lo + d], k2[s.lo + d], a, b) for a, b in zip(turn[::2].tolist(), turn[1::2].tolist(), strict=True)]
+                begin, end = _runs(phrases.cover(s.hashes(), s.first), s.first)
+                doc = np.searchsorted(s.first, begin, "right") - 1
+                out += zip(k1[s.lo + doc].tolist(), k2[s.lo + doc].tolist(), (begin - s.first[doc]).tolist(), (end - s.first[doc]).tolist(), strict=True)
         columns = list(zip(*out, strict=True)) if out else [[]] * 4
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=[*_KEY, "first", "end"])
 

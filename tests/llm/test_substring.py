@@ -91,3 +91,64 @@ def test_many_different_words():
     assert np.flatnonzero(S.Phrases(pa.array([" ".join(passage)])).cover(s.hashes())).tolist() == twice
     both = S.Phrases(pa.array([" ".join(words[10:100_010]), " ".join(passage)]))
     assert both.width == 2 and np.flatnonzero(both.cover(s.hashes())).tolist() == [*range(10, 100_010), *twice]
+
+
+class Counted:
+    """An automaton that notes how much text it reads."""
+
+    def __init__(self, automaton):
+        self.automaton, self.read = automaton, 0
+
+    def iter(self, text):
+        self.read += len(text)
+        return self.automaton.iter(text)
+
+
+def test_automaton_reads_what_can_hold_a_passage():
+    """Text without a passage's word sequences is not read, nor a stretch too short for any passage."""
+    rng = random.Random(5)
+    passage = [f"p{i}" for i in range(60)]
+    words = [rng.choice(passage) for _ in range(5000)]  # only words that the passage has
+    phrases = S.Phrases(pa.array([" ".join(passage)]))
+    phrases.automaton = Counted(phrases.automaton)
+    s = next(S.slices(pa.array([" ".join(words + passage + words + passage[:59])])))
+    assert np.flatnonzero(phrases.cover(s.hashes())).tolist() == [*range(5000, 5060)]
+    assert 60 <= phrases.automaton.read < 200
+
+
+@pytest.mark.parametrize("codes", [S._CODES, 2])
+def test_cover_of_several_documents(monkeypatch, codes):
+    """Overlapping, nested and adjoining occurrences, cut at documents, equal those of plain search."""
+    monkeypatch.setattr(S, "_CODES", codes)
+    rng = random.Random(6)
+    for _ in range(60):
+        patterns = [[rng.choice("ab") for _ in range(rng.randint(9, 14))] for _ in range(6)]
+        patterns += [patterns[0][1:], patterns[1] + patterns[2], ["a"] * 9]
+        texts = [[x for _ in range(rng.randint(0, 4)) for x in rng.choice([*patterns, ["c"], patterns[3][:8], ["a"] * 30])] for _ in range(12)]
+        texts[3], texts[4] = patterns[0], patterns[1]
+        s = next(S.slices(pa.array([" ".join(t) for t in texts])))
+        want = []
+        for t in texts:
+            gone = {i + j for p in patterns for i in range(len(t) - len(p) + 1) if t[i : i + len(p)] == p for j in range(len(p))}
+            want += [i in gone for i in range(len(t))]
+        got = S.Phrases(pa.array([" ".join(p) for p in patterns])).cover(s.hashes(), s.first)
+        assert got.tolist() == want
+        begin, end = S._runs(got, s.first)
+        assert sum((end - begin).tolist()) == sum(want) and not any(a < x < b for a, b in zip(begin, end, strict=True) for x in s.first.tolist())
+
+
+def test_only_windows_of_mixed_anchors_are_looked_up(monkeypatch):
+    asked = []
+    flag = S.Known.flag
+    monkeypatch.setattr(S.Known, "flag", lambda self, h: asked.append(len(h)) or flag(self, h))
+    batch = pa.RecordBatch.from_pylist([{"text": " ".join(f"w{i}" for i in range(2000))}])
+    w = S.Windows(next(S.slices(batch.column("text"))))
+    mixed = w.anchor[7]
+
+    class Sent:
+        value = S.Known(np.array([mixed]), np.array([2], np.int8)), S.Known(w.hash[w.run == 7], np.ones((w.run == 7).sum(), np.int8))
+
+    (_, own), = S._own_passages(batch, Sent)
+    first = int(w.first[7])
+    assert [(d, a, b) for d, a, b, _ in own] == [(0, first, first + int((w.run == 7).sum()) + 34)]
+    assert asked == [len(w.anchor), (w.run == 7).sum()]
