@@ -264,11 +264,12 @@ class Phrases:
         self.automaton.make_automaton()
         self.shortest = min((int(n) for s, _ in hashes for n in s.counts if n), default=1)
         self.gram = min(gram, self.shortest)
-        grams = np.concatenate([np.empty(0, np.uint64), *(window_hash(h, self.gram)[window_docs(s.first, self.gram)[0]] for s, h in hashes)])
-        bits = (8 * len(grams) + 1024).bit_length()
+        bits = (4 * sum(len(h) for _, h in hashes) + 1024).bit_length()
         self.shift = np.uint64(64 - bits)
         self.seen = np.zeros(1 << bits, bool)
-        self.seen[(grams >> self.shift).astype(np.int64)] = True
+        for s, h in hashes:
+            if len(start := window_docs(s.first, self.gram)[0]):
+                self.seen[self._entries(h)[start]] = True
 
     def _numbers(self, words: np.ndarray) -> np.ndarray:
         at = np.minimum(np.searchsorted(self.alphabet, words), len(self.alphabet) - 1)
@@ -277,12 +278,15 @@ class Phrases:
     def _text(self, number: np.ndarray) -> str:
         return (np.stack([number // _CODES, number % _CODES], 1) if self.width == 2 else number).astype("<u4").tobytes().decode("utf-32-le")
 
+    def _entries(self, words: np.ndarray) -> np.ndarray:
+        return (window_hash(words, self.gram) >> self.shift).astype(np.int64)
+
     def stretches(self, words: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The first word and the end of each stretch that can hold a passage; they may overlap."""
         start, _ = window_docs(first, self.gram)
         known = np.zeros(len(words), bool)
         if len(start):
-            known[start] = self.seen[(window_hash(words, self.gram) >> self.shift).astype(np.int64)][start]
+            known[start] = self.seen[self._entries(words)[start]]
         begin, end = _runs(known, first)
         end += self.gram - 1
         enough = end - begin >= self.shortest
