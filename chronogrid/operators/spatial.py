@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..panel import GRID_STRIDE, Grid, Panel
 from ..plans.lineage import cut_lineage
+from . import lattice
 from .weighted import onto, weighted_sum
 
 
@@ -59,16 +60,6 @@ def _nodes(df: DataFrame, grid: Grid, unit: str) -> DataFrame:
     return placed.withColumns({"nx": F.expr(f"shiftright(x, {grid.power} - level)"), "ny": F.expr(f"shiftright(y, {grid.power} - level)"), "h": F.pow(F.lit(2.0), up)}).drop("x", "y")
 
 
-def pyramid(x: np.ndarray, y: np.ndarray, values: np.ndarray, power: int) -> list[np.ndarray]:
-    """Sums of values over the nodes of each level, the root's first."""
-    levels = [np.zeros((1 << power, 1 << power))]
-    np.add.at(levels[0], (x, y), values)
-    for _ in range(power):
-        m = levels[0]
-        levels.insert(0, m[::2, ::2] + m[1::2, ::2] + m[::2, 1::2] + m[1::2, 1::2])
-    return levels
-
-
 def interactions(panel: Panel, grid: Grid, thetacrit: float, weight: Callable[[Column], Column]) -> DataFrame:
     """unit, level, nx, ny, weight: the quadtree nodes that each cell takes its lag from.
 
@@ -120,22 +111,6 @@ def quadtree_lag(panel: Panel, thetacrit: float, dfunction_option: int) -> Panel
     return onto(panel, weighted_sum(joined, [panel.time, panel.unit], panel.features))
 
 
-def adaptive_nodes(x: np.ndarray, y: np.ndarray, values: np.ndarray, power: int, threshold: float) -> list[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-    """(level, nx, ny, value) of the nodes that cover a map.
-
-    From the root on, a node whose value exceeds the threshold is replaced by its children; a leaf stays.
-    Nodes without a cell are left out.
-    """
-    sums, here = pyramid(x, y, values, power), pyramid(x, y, np.ones(len(x)), power)
-    found, now = [], np.ones((1, 1), bool)
-    for level in range(power + 1):
-        high = sums[level] > threshold if level < power else np.zeros_like(now)
-        nx, ny = np.nonzero(now & ~high & (here[level] > 0))
-        found.append((level, nx, ny, sums[level][nx, ny]))
-        now = np.repeat(np.repeat(now & high, 2, 0), 2, 1)
-    return found
-
-
 def adaptive_grids(panel: Panel, grid: Grid, threshold: float) -> DataFrame:
     """time, feature, level, nx, ny, value of each time's adaptive grid."""
     time_key, features, power = panel.time, panel.features, grid.power
@@ -144,7 +119,7 @@ def adaptive_grids(panel: Panel, grid: Grid, threshold: float) -> DataFrame:
     def cover(rows: pd.DataFrame) -> pd.DataFrame:
         out = []
         for f in features:
-            for level, nx, ny, value in adaptive_nodes(rows["x"].to_numpy(), rows["y"].to_numpy(), rows[f].to_numpy(float), power, threshold):
+            for level, nx, ny, value in lattice.adaptive_nodes(rows["x"].to_numpy(), rows["y"].to_numpy(), rows[f].to_numpy(float), power, threshold):
                 out.append(pd.DataFrame({time_key: rows[time_key].iloc[0], "feature": f, "level": level, "nx": nx, "ny": ny, "value": value}))
         return pd.concat(out)
 
@@ -153,24 +128,27 @@ def adaptive_grids(panel: Panel, grid: Grid, threshold: float) -> DataFrame:
     return cells.groupBy(panel.time).applyInPandas(cover, f"`{panel.time}` {kind}, feature string, level int, nx int, ny int, value double")
 
 
-def _weight_table(panel: Panel, grid: Grid, weight: Callable[[Column], Column], half: float) -> np.ndarray:
-    """weight of the distance (a + half, b + half) for offsets a and b from 0 to the grid's side."""
-    n = grid.ncells
-    a, b = F.floor(F.col("id") / n), F.col("id") % n
-    d = F.sqrt(F.pow(a + half, F.lit(2.0)) + F.pow(b + half, F.lit(2.0)))
-    rows = panel.df.sparkSession.range(n * n).select("id", F.when(d > 0, weight(F.greatest(d, F.lit(1e-9)))).otherwise(0.0).cast("double").alias("w")).toArrow()
-    out = np.zeros(n * n)
-    out[rows.column("id").to_numpy()] = rows.column("w").to_numpy()
-    return out.reshape(n, n)
-
+def _array_weight(panel: Panel, grid: Grid, weight: Callable[[Column], Column]) -> Callable[[np.ndarray], np.ndarray]:
+    """The function on arrays of distances: itself if it is plain arithmetic, else looked up in a table by Spark.
 
-def level_kernel(table: np.ndarray, h: int, n: int) -> np.ndarray:
-    """The spectrum of a level's weights by the offset of a cell from the first cell of a node of h x h cells."""
-    offset = np.r_[0:n, -n:0]
-    # a node's centre lies h / 2 - 1 / 2 cells on, between cells unless h is 1
-    far = np.abs(offset) if h == 1 else np.where(offset - h // 2 >= 0, offset - h // 2, h // 2 - offset - 1)
-    far = np.minimum(far, n - 1)
-    return np.fft.rfft2(table[far[:, None], far[None, :]])
+    The table holds the distances of the levels' lattices, a few for each cell of the map, and goes to all tasks.
+    """
+    probe = np.array([1.0, 2.0])
+    try:
+        plain = np.shape(np.asarray(weight(probe), float)) in ((), probe.shape)
+    except Exception:  # noqa: BLE001 (Spark's functions refuse arrays in several ways)
+        plain = False
+    if plain:
+        return weight
+    far = np.zeros(0)
+    for level in range(grid.power + 1):
+        d = lattice.Lattice(grid.box(panel), 2 ** (grid.power - level)).distance()
+        far = np.union1d(far, d[d > 0])
+    rows = panel.df.sparkSession.createDataFrame(pd.DataFrame({"d": far})).select("d", weight(F.col("d")).cast("double").alias("w")).toArrow()
+    known, weights = (rows.column(c).to_numpy() for c in ("d", "w"))
+    order = np.argsort(known)
+    table = panel.df.sparkSession.sparkContext.broadcast((known[order], weights[order]))
+    return lambda d: table.value[1][np.searchsorted(table.value[0], d)]
 
 
 def adaptive_grid_lag(
@@ -185,10 +163,10 @@ def adaptive_grid_lag(
     Features must be present everywhere. `dfunctions` holds one Column to Column function of the distance.
     With keep_grids also (time, feature, level, nx, ny, value) of the grids.
 
-    Nodes of one level stand on a regular lattice, so a level's sum is a convolution and all levels are summed
-    in the frequency domain: a time's cost is that of a few transforms of its map, whatever its number of
-    nodes.  A task holds one time's map of at most 1024 x 1024 cells; weights, two tables of that size, are sent
-    to all tasks.  The plan shuffles the cells once, by time, and joins nothing but the result to its rows.
+    Nodes of one level stand on a regular lattice, so a level's sum is a convolution: a time's cost is that of a
+    few transforms of its map for each level, whatever its number of nodes.  A task holds one time's map, inside
+    the box of its cells and not the square around them; the driver holds none.  The plan shuffles the cells
+    once, by time, and joins nothing but the result to its rows.
     """
     if split_criterion != "min":
         raise ValueError(f"split_criterion is 'min', not {split_criterion!r}")
@@ -197,26 +175,31 @@ def adaptive_grid_lag(
         raise ValueError("one distance function is needed")
     weight = next(iter(dfunctions.values()))
     grid = Grid.of(panel)
-    n, power, time_key, unit_key, features = grid.ncells, grid.power, panel.time, panel.unit, panel.features
-    tables = panel.df.sparkSession.sparkContext.broadcast([_weight_table(panel, grid, weight, half) for half in (0.0, 0.5)])
+    power, time_key, unit_key, features = grid.power, panel.time, panel.unit, panel.features
+    weight = _array_weight(panel, grid, weight)
     unit = F.col(panel.unit)
-    spectra: dict[int, np.ndarray] = {}
+    spectra = lattice.Cache()
+
+    def kernel_spectrum(at: lattice.Lattice) -> np.ndarray:
+        d = at.distance()
+        own = d == 0
+        w = np.where(own, 0.0, weight(np.where(own, d.max() or 1.0, d)))
+        return at.spectrum(w)
 
     def solve(rows: pd.DataFrame) -> pd.DataFrame:
         x, y = rows["x"].to_numpy(), rows["y"].to_numpy()
+        box = lattice.box_of(x, y)
         out = rows[[time_key, unit_key]].copy()
         for f in features:
-            total = np.zeros((2 * n, n + 1), complex)
-            for level, nx, ny, value in adaptive_nodes(x, y, rows[f].to_numpy(float), power, threshold):
+            lag = np.zeros(len(rows))
+            for level, nx, ny, value in lattice.adaptive_nodes(x, y, rows[f].to_numpy(float), power, threshold):
                 if not value.any():
                     continue
-                h = 2 ** (power - level)
-                if h not in spectra:
-                    spectra[h] = level_kernel(tables.value[0 if h == 1 else 1], h, n)
-                source = np.zeros((2 * n, 2 * n))
-                source[nx * h, ny * h] = value
-                total += np.fft.rfft2(source) * spectra[h]
-            out[f] = np.fft.irfft2(total, (2 * n, 2 * n))[x, y]
+                at = lattice.Lattice(box, 2 ** (power - level))
+                source = np.zeros((at.x.count, at.y.count))
+                source[nx - at.x.first, ny - at.y.first] = value
+                lag += at.at(at.transformed(source) * spectra.get((box, level), lambda: kernel_spectrum(at)), x, y)  # noqa: B023
+            out[f] = lag
         return out
 
     schema = ", ".join(f"`{c}` {panel.df.schema[c].dataType.simpleString()}" for c in (panel.time, panel.unit)) + "".join(f", `{f}` double" for f in features)
