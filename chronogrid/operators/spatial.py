@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -144,7 +145,7 @@ def _array_weight(panel: Panel, grid: Grid, weight: Callable[[Column], Column])
     for level in range(grid.power + 1):
         d = lattice.Lattice(grid.box(panel), 2 ** (grid.power - level)).distance()
         far = np.union1d(far, d[d > 0])
-    rows = panel.df.sparkSession.createDataFrame(pd.DataFrame({"d": far})).select("d", weight(F.col("d")).cast("double").alias("w")).toArrow()
+    rows = panel.df.sparkSession.createDataFrame(pa.table({"d": far})).select("d", weight(F.col("d")).cast("double").alias("w")).toArrow()
     known, weights = (rows.column(c).to_numpy() for c in ("d", "w"))
     order = np.argsort(known)
     table = panel.df.sparkSession.sparkContext.broadcast((known[order], weights[order]))

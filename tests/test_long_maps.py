@@ -14,10 +14,10 @@ from .test_operators import placed, result
 LONG = 60_000
 
 
-def strip(seed=1):
-    """Two times of a strip three cells wide, with cells at both ends only; its square has 65536 x 65536 cells."""
+def strip(seed=1, long=LONG):
+    """Two times of a strip three cells wide, with cells at both ends only; for LONG its square has 65536 x 65536 cells."""
     rng = np.random.default_rng(seed)
-    ends = [*range(9), *range(LONG - 8, LONG + 1)]
+    ends = [*range(9), *range(long - 8, long + 1)]
     return [(t, (y + 3) * 720 + x + 7, float(rng.integers(0, 50))) for t in (1, 2) for y in ends for x in range(3)]
 
 
@@ -53,3 +53,10 @@ def check_adaptive(rows, out, threshold, weight):
 def test_adaptive_direct(spark):
     rows = strip()
     check_adaptive(rows, result(spatial.adaptive_grid_lag(panel_of(spark, rows), 0.0)), 0.0, lambda d: 1 / d)
+
+
+def test_adaptive_lag_by_sparks_functions(spark):
+    """A distance function of Spark's own is looked up, and large nodes are taken whole."""
+    rows = strip(2, 2000)
+    out = result(spatial.adaptive_grid_lag(panel_of(spark, rows), 90.0, {"log": lambda d: 1 / F.log(d + 2)}))
+    check_adaptive(rows, out, 90.0, lambda d: 1 / math.log(d + 2))
