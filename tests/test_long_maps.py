@@ -60,3 +60,11 @@ def test_adaptive_lag_by_sparks_functions(spark):
     rows = strip(2, 2000)
     out = result(spatial.adaptive_grid_lag(panel_of(spark, rows), 90.0, {"log": lambda d: 1 / F.log(d + 2)}))
     check_adaptive(rows, out, 90.0, lambda d: 1 / math.log(d + 2))
+
+
+def test_adaptive_nodes(spark):
+    rows = strip(3)
+    _, power, at = placed(rows)
+    _, grids = spatial.adaptive_grid_lag(panel_of(spark, rows), 90.0, keep_grids=True)
+    found = {(r.time, r.level, r.nx, r.ny, r.value) for r in grids.collect()}
+    assert found == {(t, *n) for t in (1, 2) for n in cover({at[u]: v for s, u, v in rows if s == t}, power, 90.0)}
