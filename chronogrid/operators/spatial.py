@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -12,7 +12,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..panel import GRID_STRIDE, Grid, Panel
-from ..plans.lineage import cut_lineage
 from . import lattice
 from .weighted import onto, weighted_sum
 
@@ -53,63 +52,108 @@ DISTANCE_WEIGHTS: dict[int, Callable[[Column], Column]] = {
 }
 
 
-def _nodes(df: DataFrame, grid: Grid, unit: str) -> DataFrame:
-    """level, nx and ny of each cell's ancestors, itself included."""
-    levels = F.explode(F.sequence(F.lit(0), F.lit(grid.power))).alias("level")
-    placed = df.withColumns({"x": grid.x(F.col(unit)), "y": grid.y(F.col(unit))}).select("*", levels)
-    up = F.lit(grid.power) - F.col("level")
-    return placed.withColumns({"nx": F.expr(f"shiftright(x, {grid.power} - level)"), "ny": F.expr(f"shiftright(y, {grid.power} - level)"), "h": F.pow(F.lit(2.0), up)}).drop("x", "y")
-
-
-def interactions(panel: Panel, grid: Grid, thetacrit: float, weight: Callable[[Column], Column]) -> DataFrame:
-    """unit, level, nx, ny, weight: the quadtree nodes that each cell takes its lag from.
+#: The same of arrays.
+ARRAY_WEIGHTS: dict[int, Callable[[np.ndarray], np.ndarray]] = {
+    0: lambda d: 1 / np.log(1 + d),
+    1: DISTANCE_WEIGHTS[1],
+    2: DISTANCE_WEIGHTS[2],
+}
 
-    It does not depend on time.  A batch of cells walks the tree level by level: open (cell, node) pairs are
-    taken or replaced by the node's children.  Which nodes hold cells is one bit for each node of a square of
-    at most 1024 x 1024 cells, sent to all tasks.
-    """
-    unit = F.col(panel.unit)
-    cells = cut_lineage(panel.df.select(unit.alias("unit"), grid.x(unit).alias("x"), grid.y(unit).alias("y")).distinct())
-    found = cells.select("x", "y").toArrow()
-    x, y = (found.column(c).to_numpy() for c in ("x", "y"))
-    power = grid.power
-    here = panel.df.sparkSession.sparkContext.broadcast([m > 0 for m in pyramid(x, y, np.ones(len(x)), power)])
-
-    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            cx, cy = batch["x"].to_numpy(), batch["y"].to_numpy()
-            row, nx, ny = np.arange(len(cx)), np.zeros(len(cx), np.int64), np.zeros(len(cx), np.int64)
-            for level in range(power + 1):
-                h = 2.0 ** (power - level)
-                d = np.sqrt((cx[row] + 0.5 - (nx + 0.5) * h + 0.01) ** 2 + (cy[row] + 0.5 - (ny + 0.5) * h + 0.01) ** 2)
-                split = h / d > thetacrit
-                taken = ~split
-                if level == power:
-                    taken |= (cx[row] != nx) | (cy[row] != ny)
-                yield pd.DataFrame({"unit": batch["unit"].to_numpy()[row[taken]], "level": level, "nx": nx[taken], "ny": ny[taken], "d": d[taken]})
-                if level < power:
-                    row, nx, ny = (np.repeat(v[split], 4) for v in (row, nx, ny))
-                    nx, ny = 2 * nx + np.tile([0, 0, 1, 1], len(nx) // 4), 2 * ny + np.tile([0, 1, 0, 1], len(ny) // 4)
-                    there = here.value[level + 1][nx, ny]
-                    row, nx, ny = row[there], nx[there], ny[there]
-
-    kind = panel.df.schema[panel.unit].dataType.simpleString()
-    pairs = cells.mapInPandas(walk, f"unit {kind}, level int, nx int, ny int, d double")
-    return pairs.select(F.col("unit").alias(panel.unit), "level", "nx", "ny", weight(F.col("d")).alias("weight"))
+#: Cells that walk the tree at once.
+WALKED = 1 << 16
+
+#: Up to here a node that is split has only ancestors that are split: their sides double, their distances grow less.
+STEADY = 1.4
+
+
+def _walk(cx: np.ndarray, cy: np.ndarray, sums: list[tuple[int, int, np.ndarray]], here: list[tuple[int, int, np.ndarray]], thetacrit: float, weight: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
+    """Each cell's lag, level by level: open (cell, node) pairs are taken or replaced by the node's children."""
+    power, lag = len(sums) - 1, np.zeros(len(cx))
+    row, nx, ny = np.arange(len(cx)), np.zeros(len(cx), np.int64), np.zeros(len(cx), np.int64)
+    for level in range(power + 1):
+        h = 2.0 ** (power - level)
+        d = np.sqrt((cx[row] + 0.5 - (nx + 0.5) * h + 0.01) ** 2 + (cy[row] + 0.5 - (ny + 0.5) * h + 0.01) ** 2)
+        split = h / d > thetacrit
+        taken = ~split
+        if level == power:
+            taken |= (cx[row] != nx) | (cy[row] != ny)
+        x0, y0, m = sums[level]
+        lag += np.bincount(row[taken], weight(d[taken]) * m[nx[taken] - x0, ny[taken] - y0], len(cx))
+        if level < power:
+            row, nx, ny = (np.repeat(v[split], 4) for v in (row, nx, ny))
+            nx, ny = 2 * nx + np.tile([0, 0, 1, 1], len(nx) // 4), 2 * ny + np.tile([0, 1, 0, 1], len(ny) // 4)
+            x0, y0, m = here[level + 1]
+            i, j = nx - x0, ny - y0
+            there = (i >= 0) & (i < m.shape[0]) & (j >= 0) & (j < m.shape[1])
+            there[there] = m[i[there], j[there]] > 0
+            row, nx, ny = row[there], nx[there], ny[there]
+    return lag
 
 
 def quadtree_lag(panel: Panel, thetacrit: float, dfunction_option: int) -> Panel:
     """Barnes-Hut sum over a quadtree: far nodes are taken whole. Missing is 0.
 
     Distance weights: 0 is 1 / ln(1 + d), 1 is 1 / d, 2 is 1 / d**2.
+
+    A cell takes a node if its parent is split and it is not.  Which offsets of cell and node that holds for
+    depends only on where the node stands in its parent, so a level's sum is four convolutions, whatever the
+    number of nodes that a cell takes.  Beyond STEADY, where a cell takes few nodes, it walks the tree.  A task
+    holds one time's map, inside the box of its cells.
     """
     if dfunction_option not in DISTANCE_WEIGHTS:
         raise ValueError(f"dfunction_option is 0, 1 or 2, not {dfunction_option}")
     panel = panel.filled()
     grid = Grid.of(panel)
-    sums = _nodes(panel.df.select(panel.time, panel.unit, *panel.features), grid, panel.unit).groupBy(panel.time, "level", "nx", "ny").agg(*(F.sum(f).alias(f) for f in panel.features))
-    joined = interactions(panel, grid, thetacrit, DISTANCE_WEIGHTS[dfunction_option]).join(sums, ["level", "nx", "ny"])
-    return onto(panel, weighted_sum(joined, [panel.time, panel.unit], panel.features))
+    power, time_key, unit_key, features, weight = grid.power, panel.time, panel.unit, panel.features, ARRAY_WEIGHTS[dfunction_option]
+    spectra = lattice.Cache()
+
+    def kernel_spectrum(at: lattice.Lattice, level: int, odd: tuple[int, int]) -> np.ndarray | None:
+        """Of the weights that cells take nodes with which stand so in their parents, None if none are taken."""
+        h, (ox, oy) = at.h, at.offsets()
+        d = at.distance(0.01)
+        taken = h / d <= thetacrit
+        if level == power:
+            taken |= (ox != 0) | (oy != 0)
+        if level:
+            px, py = (o + i * h + 0.5 - h + 0.01 for o, i in zip((ox, oy), odd, strict=True))
+            taken &= 2 * h / np.sqrt(px**2 + py**2) > thetacrit
+        return at.spectrum(np.where(taken, weight(d), 0.0)) if taken.any() else None
+
+    def solve(rows: pd.DataFrame) -> pd.DataFrame:
+        x, y = rows["x"].to_numpy(), rows["y"].to_numpy()
+        box = lattice.box_of(x, y)
+        out = rows[[time_key, unit_key]].copy()
+        for f in features:
+            lag = np.zeros(len(rows))
+            sums = lattice.pyramid(x, y, rows[f].to_numpy(float), power)
+            if thetacrit > STEADY:
+                here = lattice.pyramid(x, y, np.ones(len(x)), power)
+                for lo in range(0, len(x), WALKED):
+                    part = slice(lo, lo + WALKED)
+                    lag[part] = _walk(x[part], y[part], sums, here, thetacrit, weight)
+                out[f] = lag
+                continue
+            for level, (x0, y0, m) in enumerate(sums):
+                at, total = lattice.Lattice(box, 2 ** (power - level)), None
+                for odd in ((0, 0), (0, 1), (1, 0), (1, 1)) if level else ((0, 0),):
+                    source = np.zeros_like(m)
+                    own = (slice((odd[0] - x0) % 2, None, 2), slice((odd[1] - y0) % 2, None, 2)) if level else ...
+                    source[own] = m[own]
+                    if not source.any():
+                        continue
+                    spectrum = spectra.get((box, level, odd), lambda: kernel_spectrum(at, level, odd))  # noqa: B023
+                    if spectrum is not None:
+                        part = at.transformed(source) * spectrum
+                        total = part if total is None else total + part
+                if total is not None:
+                    lag += at.at(total, x, y)
+            out[f] = lag
+        return out
+
+    unit = F.col(unit_key)
+    schema = ", ".join(f"`{c}` {panel.df.schema[c].dataType.simpleString()}" for c in (time_key, unit_key)) + "".join(f", `{f}` double" for f in features)
+    cells = panel.df.select(time_key, unit, grid.x(unit).alias("x"), grid.y(unit).alias("y"), *features)
+    return onto(panel, cells.groupBy(time_key).applyInPandas(solve, schema))
 
 
 def adaptive_grids(panel: Panel, grid: Grid, threshold: float) -> DataFrame:

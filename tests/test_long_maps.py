@@ -68,3 +68,27 @@ def test_adaptive_nodes(spark):
     _, grids = spatial.adaptive_grid_lag(panel_of(spark, rows), 90.0, keep_grids=True)
     found = {(r.time, r.level, r.nx, r.ny, r.value) for r in grids.collect()}
     assert found == {(t, *n) for t in (1, 2) for n in cover({at[u]: v for s, u, v in rows if s == t}, power, 90.0)}
+
+
+@pytest.mark.parametrize("theta", [0.001, 0.7, 1.6])
+def test_quadtree(spark, theta):
+    """At 0.001 cells at the other end are taken in nodes of up to 32 cells, near ones one by one."""
+    rows = strip(4)
+    _, power, at = placed(rows)
+    out = result(spatial.quadtree_lag(panel_of(spark, rows), theta, 1))
+
+    def lag(inside, x, y, level, nx, ny):
+        h = 2 ** (power - level)
+        inside = {c: v for c, v in inside.items() if c[0] // h == nx and c[1] // h == ny}
+        if not inside:
+            return 0.0
+        d = math.hypot(x + 0.5 - (nx + 0.5) * h + 0.01, y + 0.5 - (ny + 0.5) * h + 0.01)
+        if h / d > theta and level < power:
+            return sum(lag(inside, x, y, level + 1, 2 * nx + i, 2 * ny + j) for i in (0, 1) for j in (0, 1))
+        return 0.0 if h / d > theta and (x, y) == (nx, ny) else sum(inside.values()) / d
+
+    for t in (1, 2):
+        value = {at[u]: v for s, u, v in rows if s == t}
+        for x, y in value:
+            u = next(u for u, c in at.items() if c == (x, y))
+            assert out[t, u] == pytest.approx(lag(value, x, y, 0, 0, 0), rel=1e-9)
