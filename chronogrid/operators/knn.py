@@ -11,6 +11,8 @@ from ..panel import GRID_STRIDE, Panel
 from .weighted import onto
 
 DEGREES, NONE = 0.5, 999.0
+#: Rows of a tile, tiles of a group of targets, and event tiles that a group tries first.
+TILE, GROUP, TRIED = 64, 64, 256
 
 
 def nearest(targets: np.ndarray, events: np.ndarray, k: int, block: int = 1 << 22) -> tuple[np.ndarray, np.ndarray]:
@@ -31,6 +33,57 @@ def nearest(targets: np.ndarray, events: np.ndarray, k: int, block: int = 1 << 2
     return far, which
 
 
+def _curve(points: np.ndarray) -> np.ndarray:
+    """The order of points along a Z-curve over their first two columns."""
+    code = np.zeros(len(points), np.int64)
+    cell = [np.floor(points[:, i] / DEGREES).astype(np.int64) for i in (0, 1)]
+    for bit in range(31):
+        for i in (0, 1):
+            code |= ((cell[i] - cell[i].min()) >> bit & 1) << (2 * bit + i)
+    return np.argsort(code, kind="stable")
+
+
+def _apart(lo: np.ndarray, hi: np.ndarray, los: np.ndarray, his: np.ndarray) -> np.ndarray:
+    """Squared distances of one box from others, a little less for rounding."""
+    return (np.maximum(0, np.maximum(los - hi, lo - his)) ** 2).sum(1) * (1 - 1e-12)
+
+
+def nearest_by_tiles(targets: np.ndarray, events: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """What nearest() gives, but a tile of targets meets only the tiles of events that can hold one of its k nearest.
+
+    Both are cut into tiles along a Z-curve.  A few near tiles of events bound the k-th distance of a tile of
+    targets, and all tiles of events within that bound are compared, in the order of the events.
+    """
+    n, m = len(targets), len(events)
+    if m <= max(8 * TILE, 2 * k):
+        return nearest(targets, events, k)
+    far, which = np.empty((n, k)), np.empty((n, k), np.int64)
+    order, start = _curve(events), np.arange(0, m, TILE)
+    los, his = np.minimum.reduceat(events[order], start), np.maximum.reduceat(events[order], start)
+    members = lambda tiles: np.sort(np.concatenate([order[i * TILE : (i + 1) * TILE] for i in tiles]))
+    line, enough = _curve(targets), 3 + k // TILE
+    for first in range(0, n, TILE * GROUP):
+        group = targets[line[first : first + TILE * GROUP]]
+        apart = _apart(group.min(0), group.max(0), los, his)
+        near = np.argsort(apart, kind="stable")
+        for at in range(first, min(n, first + TILE * GROUP), TILE):
+            rows = line[at : min(at + TILE, first + TILE * GROUP)]
+            part, tried = targets[rows], max(TRIED, enough)
+            while True:
+                tiles = near[:tried]
+                beyond = apart[near[tried]] if tried < len(near) else np.inf
+                gap = _apart(part.min(0), part.max(0), los[tiles], his[tiles])
+                found = members(tiles[np.argsort(gap, kind="stable")[:enough]])
+                bound = nearest(part, events[found], k)[0].max() ** 2 * (1 + 1e-12)
+                if bound < beyond:
+                    break
+                tried *= 4
+            found = members(tiles[gap <= bound])
+            far[rows], nth = nearest(part, events[found], k)
+            which[rows] = found[nth]
+    return far, which
+
+
 def spacetime_distances(panel: Panel, return_values: str = "distances", k: int = 1, nu: float = 1.0, power: float = 0.0) -> Panel:
     """The mean distance to the k nearest events (values above 0) up to now, or the mean of size / distance**power.
 
@@ -40,7 +93,7 @@ def spacetime_distances(panel: Panel, return_values: str = "distances", k: int =
     For any cell only a cell's k latest events can count.  An event takes its k - 1 predecessors along by
     lag(), and rows between events the last event's, so a row's state is k pairs of numbers and no window holds
     a list.  Then each time's map is one task, with memory for one map and its events whatever the number of
-    times.
+    times, and time that grows with the cells: nearest_by_tiles() has the search.
     """
     if return_values not in ("distances", "weights"):
         raise ValueError(f"return_values is 'distances' or 'weights', not {return_values!r}")
@@ -73,7 +126,7 @@ def spacetime_distances(panel: Panel, return_values: str = "distances", k: int =
             t, v, own = t[there], v[there], own[there]
             order = np.lexsort((unit[own], -t))
             t, v, own = t[order], v[order], own[order]
-            far, which = nearest(np.column_stack([x, y, now]), np.column_stack([x[own], y[own], nu * t]), k)
+            far, which = nearest_by_tiles(np.column_stack([x, y, now]), np.column_stack([x[own], y[own], nu * t]), k)
             if return_values == "distances":
                 out[f] = far.mean(1)
             else:
