@@ -31,3 +31,13 @@ def test_pairs_grow_with_the_cells(monkeypatch):
         knn.nearest_by_tiles(np.column_stack([x, y, np.full(len(x), 20.0)]), np.column_stack([x, y, rng.integers(0, 20, len(x))]), 3)
         done.append(sum(pairs))
     assert done[1] < 5 * done[0]
+
+
+def test_all_targets_once():
+    """Numbers of targets that fill no whole tile, or no whole group of tiles."""
+    rng = np.random.default_rng(5)
+    events = rng.integers(0, 60, (700, 3)).astype(float)
+    for n in (1, 63, 65, 4097):
+        targets = rng.integers(0, 60, (n, 3)).astype(float)
+        for found, expected in zip(knn.nearest_by_tiles(targets, events, 1), knn.nearest(targets, events, 1), strict=True):
+            assert (found == expected).all()
