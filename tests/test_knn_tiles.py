@@ -41,3 +41,12 @@ def test_all_targets_once():
         targets = rng.integers(0, 60, (n, 3)).astype(float)
         for found, expected in zip(knn.nearest_by_tiles(targets, events, 1), knn.nearest(targets, events, 1), strict=True):
             assert (found == expected).all()
+
+
+def test_of_equally_near_events_the_first():
+    """Whose size a weight takes: of copies of one event in several tiles, the first in the events' order."""
+    rng = np.random.default_rng(6)
+    events = np.repeat(rng.integers(0, 9, (20, 3)).astype(float), 50, 0)
+    rng.shuffle(events)
+    targets = rng.integers(0, 9, (500, 3)).astype(float)
+    assert (knn.nearest_by_tiles(targets, events, 1)[1] == knn.nearest(targets, events, 1)[1]).all()
